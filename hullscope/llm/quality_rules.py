@@ -38,7 +38,7 @@ RULES = (
     Rule(1, "repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     Rule(3, "symbols", "10 * n_symbols > n_words"),
-    Rule(4, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(4, "repeated_lines", "n_lines >= 10 AND 2 * n_dup_lines > n_lines"),
     Rule(5, "shouting", "n_upper > n_lower"),
     Rule(6, "exclamation", "10 * n_exclaims > n_words"),
 )
