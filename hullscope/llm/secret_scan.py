@@ -53,7 +53,7 @@ FORMATS: dict[str, list[str | tuple[str, int, int]]] = {
 }
 
 
-def labelled(kind: str, count: int = 300, seed: int = 7) -> list[str]:
+def labelled(kind: str, count: int = 600, seed: int = 7) -> list[str]:
     """Labelled credentials of a public format, drawn by a fixed seed."""
     draw = random.Random(f"{seed}:{kind}")
     return ["".join(p if isinstance(p, str) else "".join(draw.choices(p[0], k=draw.randint(p[1], p[2]))) for p in FORMATS[kind]) for _ in range(count)]

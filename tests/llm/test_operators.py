@@ -1,0 +1,391 @@
+"""Corpus operators against brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from hullscope.llm import brown_lm, components, exact_dedup, language_id, mixing, pieces, quality_rules, secret_scan, simhash, url_filters, weak_labels
+
+LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+# quality rules
+
+
+def test_repeated_words_by_hand():
+    assert quality_rules.repeated_words(b"a b c a b c x".split()) == 6 and quality_rules.repeated_words(b"a a a a".split()) == 4 and quality_rules.repeated_words(b"a b c".split()) == 0
+
+
+def test_policies_and_ablations(docs):
+    led = quality_rules.ledger(docs).cache()
+    mask = quality_rules.POLICIES["v2"]
+    kept = {v: quality_rules.apply_policy(led, m).where("kept").count() for v, m in quality_rules.POLICIES.items()}
+    assert kept["v2"] <= kept["v1"] <= kept["base"]
+    for r in quality_rules.ablations(led, mask).collect():
+        assert r.n_kept == kept["v2"] and r.n_kept_without == quality_rules.apply_policy(led, mask & ~(1 << r.bit)).where("kept").count()
+
+
+# exact dedup
+
+
+def test_bloom_merge_misses_no_repeat():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    h[2500:3000] = h[:500]
+    bits = exact_dedup.bits_for(len(h))
+    parts = []
+    for own in np.array_split(h, 7):
+        seen, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
+        exact_dedup.add(seen, twice, own, bits)
+        parts.append((seen, twice))
+    seen, twice = parts[0]
+    for s, t in parts[1:]:
+        seen, twice = seen | s, twice | t | (seen & s)
+    flags = exact_dedup.flagged(twice, h, bits)
+    assert flags[:500].all() and flags[2500:3000].all() and flags.mean() < 0.25
+
+
+def test_dedup_keeps_the_largest_id(odd, docs, texts):
+    kept = exact_dedup.dedup(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("text = 'same text here for you'").collect()) == [5]
+    best = {}
+    for k, t in texts.items():
+        best[t] = max(k, best.get(t, -1))
+    assert sorted(r.doc_id for r in exact_dedup.dedup(docs).select("doc_id").collect()) == sorted(best.values())
+
+
+# language
+
+
+def test_kneser_ney_sums_to_one():
+    m = language_id.kneser_ney({"x": {"abba": 3, "abc": 1}, "y": {"cab": 2}})
+    chars = ["a", "b", "c", chr(language_id.EOS), "?"]
+    for context in ("abb", chr(2) * 3, chr(2) + "ab", "zzz"):
+        codes = [np.array(list(map(ord, context + c)), np.uint32) for c in chars]
+        p = np.exp(np.concatenate([m.places(c, np.array([3])) for c in codes])).sum(axis=0)
+        assert np.allclose(p, 1, atol=1e-5), context
+
+
+def test_language_accuracy_and_letters(docs, odd):
+    got = language_id.op3_rows(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
+    assert all((zlib.crc32(str(i).encode()) % 4 == 2) == h for i, h in zip(got.doc_id, got.held_out))
+    und = {r.doc_id for r in language_id.op3_rows(odd).where("lang_pred = 'und'").collect()}
+    assert {1, 2, 3} <= und and not {4, 5, 6} & und
+
+
+# simhash
+
+
+def slow_fingerprint(text):
+    words = (text or "").encode().translate(LOW).split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    ones = Counter()
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s, seed=42)
+        ones.update(b for b in range(64) if h >> b & 1)
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+
+
+def test_components_equal_brute_force(docs, texts):
+    fps = {k: slow_fingerprint(t) for k, t in texts.items()}
+    ids = sorted(fps)
+    label = simhash.all_pairs_components([fps[i] for i in ids])
+    want = {i: (f"{fps[i]:016x}", ids[c]) for i, c in zip(ids, label)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op4_rows(docs).collect()} == want
+
+
+@pytest.mark.parametrize("bucket", [400, 3])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, bucket):
+    """A ball of close fingerprints, chains of two-bit steps and single ones, with the bucket bound at work."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 2**63))
+    fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (150, 2))} | {int(x) for x in rng.integers(0, 2**63, 300)}
+    chain = int(rng.integers(0, 2**63))
+    for i in range(0, 60, 2):
+        chain ^= 3 << i
+        fps.add(chain)
+    fps |= {0, 2**64 - 1, 2**64 - 4, 2**63, 2**63 + 1}
+    ordered = sorted(fps)
+    label = simhash.all_pairs_components(ordered)
+    want = {}
+    for f, c in zip(ordered, label):
+        want.setdefault(c, set()).add(f)
+    df = spark.createDataFrame([(simhash.signed(f),) for f in ordered], "fp long")
+    comp = {r.node: r.component for r in components.components(simhash.links(df)).collect()}
+    got = {}
+    for f in ordered:
+        got.setdefault(comp.get(simhash.signed(f), simhash.signed(f)), set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_plan_covers_the_distance():
+    rng = np.random.default_rng(5)
+    for rows in (100, 10**6, 10**10):
+        chosen = simhash.plan(rng.integers(0, 2**64, 500, dtype=np.uint64), rows)
+        # thresholds t over disjoint masks find every pair within two bits iff sum(t + 1) > 2
+        assert sum(t + 1 for _, t in chosen) == 3
+        masks = [m for m, _ in chosen]
+        assert all(a & b == 0 for i, a in enumerate(masks) for b in masks[:i])
+
+
+def test_components_of_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1000), (300, 301)], "a long, b long")
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert all(got[i] == 0 for i in range(201)) and got[301] == 300 and 1000 not in got
+
+
+# tokens
+
+
+@pytest.fixture(scope="module")
+def transducer():
+    try:
+        with open(pieces.MODEL_FILE, "rb") as f:
+            return pieces.Transducer(f.read())
+    except FileNotFoundError:
+        pytest.skip("no vocabulary file here")
+
+
+def test_encoding_equals_the_library(transducer, texts):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    own = [*texts.values(), "", " ", "  a  b   c", "\n\n x\ty", "日本語 テスト \U0001f642", "<s> </s> <0x0A>", "a" * 60, "    " * 20 + "def f():", "\x00\x01", "ﬁ ½ é"]
+    assert transducer.encode_many(own) == lib.encode(own)
+    assert all(transducer.decode(ids) == t for t, ids in zip(own, transducer.encode_many(own)))
+
+
+def test_array_paths_equal_scalar_paths(transducer):
+    words = [pieces.SPACE + w for w in ("the", "erntionly", "straße", "élan.", "x" * 24, "Ünder,", "a", "10,000.5")]
+    assert transducer.merge_paths(words) == [transducer.merge_path(w) for w in words]
+    assert transducer.merge_paths(["a\U000130a0"])[0] is None
+
+
+def test_unigram_path_is_the_cheapest():
+    vocabulary = [("<unk>", 0.0, 2), ("a", -2.0, 1), ("b", -2.1, 1), ("ab", -3.0, 1), ("ba", -2.5, 1), ("aba", -9.0, 1)]
+    t = pieces.Transducer.of(vocabulary, pieces.UNIGRAM, {3: 0, 4: 0})
+    score = {p: s for p, s, k in vocabulary if k == 1}
+
+    def best(s):
+        if not s:
+            return 0.0
+        return max(score[s[:n]] + best(s[n:]) for n in (1, 2, 3) if s[:n] in score)
+
+    for s in ("aba", "abab", "baab", "bbb"):
+        assert math.isclose(sum(vocabulary[i][1] for i in t.encode(s)), best(s))
+
+
+def test_ids_round_trip_in_spark(docs, transducer):
+    rows = pieces.op5_rows(docs)
+    assert rows.where("NOT round_trip OR size(ids) <> n_tokens").count() == 0
+    back = pieces.decoded(rows, [F.col("doc_id")]).join(docs.select("doc_id", F.col("text").alias("t")), "doc_id")
+    assert back.where("text <> t").count() == 0
+
+
+# lists in time
+
+
+def test_intervals_and_keys(spark):
+    log = spark.createDataFrame([("d:x.com", "add", "2024-01-05"), ("d:x.com", "remove", "2024-02-01"), ("d:x.com", "add", "2024-03-01"), ("p:y.org/a", "add", "2024-01-01"), ("d:y.org", "add", "2024-01-01"), ("d:y.org", "remove", "2024-01-01"), (None, "add", "2024-01-01"), ("d:z.net", None, "2024-01-01")], "key string, action string, day string").withColumn("day", F.col("day").cast("date"))
+    captures = [(1, "http://a.x.com/p", "2024-01-04"), (2, "http://a.x.com/p", "2024-01-05"), (3, "https://u@X.COM.:80/", "2024-01-31"), (4, "http://x.com", "2024-02-01"), (5, "http://x.com", "2025-01-01"), (6, "http://y.org/a/b?c", "2024-05-01"), (7, "http://y.org/b", "2024-05-01"), (8, None, "2024-01-01"), (9, "no url", None), (10, "http://notx.com/", "2024-01-10")]
+    df = spark.createDataFrame(captures, "page_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("date")).withColumn("key", F.lit("clash"))
+    got = {r.page_id: r.blocked for r in url_filters.judged(df, log).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: False, 5: True, 6: True, 7: False, 8: False, 9: False, 10: False}
+
+
+def test_list_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {tuple(r) for r in url_filters.op6_rows(pages).collect()}
+    monkeypatch.setattr(url_filters, "BROADCAST_ROWS", -1)
+    assert {tuple(r) for r in url_filters.op6_rows(pages).collect()} == want
+    assert url_filters.op6_rows(pages.limit(0)).count() == 0
+
+
+def test_url_filters_stay_in_the_jvm(spark, sf_dir):
+    plan = url_filters.op6_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# weak labels
+
+
+def test_classifier_against_labels(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    labels = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/labels.parquet")
+    got = weak_labels.op7_rows(docs).join(labels, "doc_id").toPandas()
+    assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.15
+
+
+def test_em_finds_planted_accuracies():
+    rng = np.random.default_rng(2)
+    good = rng.random(4000) < 0.8
+    bad_rate = {1: 0.01, 0: 0.4}
+    patterns = Counter()
+    for g in good:
+        patterns["".join("2" if rng.random() < 0.2 else "0" if rng.random() < bad_rate[int(g)] else "1" for _ in weak_labels.LABELLERS)] += 1
+    prior, table = weak_labels.em(patterns)
+    assert abs(prior - 0.8) < 0.05 and np.abs(table[:, 0, 0] - 0.4).max() < 0.1 and table[:, 1, 0].max() < 0.05
+
+
+def test_empty_texts_score_nothing(odd):
+    got = {r.doc_id: r.score for r in weak_labels.op7_rows(odd).collect()}
+    assert got[1] == got[2] == got[3] == 0.0
+
+
+# secrets
+
+
+def slow_base(text):
+    out = []
+    for kind, pattern, group, least in (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)):
+        out += [(m.start(), ("assign", "access", "hex").index(kind), kind, m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+def test_base_spans_equal_plain_patterns(docs, texts):
+    more = {10**6 + i: t for i, t in enumerate(["é token: \"abcdefgh\" Api_Key=12345678 apikey='short'", "AKIA" + "A" * 12 + " xAKIA123456789012é", "f" * 40 + "g " + "0" * 31, "password = \n12345678", "a" * 32 + " é " + "a" * 32 + "x" + "b" * 33, "SECRET\"   :   'aaaa.bbbb=cc" ])}
+    scanner = secret_scan.default_scanner()
+    for k, t in {**texts, **more}.items():
+        base, every = secret_scan.spans(t.encode(), scanner)
+        assert secret_scan.shown(base) == slow_base(t), k
+        assert set(base) <= set(every)
+
+
+def test_automata_know_their_formats():
+    scanner = secret_scan.default_scanner()
+    for kind in secret_scan.FORMATS:
+        new = secret_scan.labelled(kind, 60, seed=99)
+        assert np.mean([scanner.kind_of(s)[0] == kind for s in new]) > 0.85, kind
+    assert not any(scanner.kind_of(w)[0] for w in ("internationalization12", "2024-01-01-some-title-here", "ghp_short1", "0123456789abcdef0123456789abcdef01234567"))
+
+
+def test_secret_columns(docs, texts):
+    for r in secret_scan.op8_rows(docs).collect():
+        assert r.base_sha256 == hashlib.sha256(slow_base(texts[r.doc_id] or "").encode()).hexdigest()
+
+
+# mixing
+
+
+def slow_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, open_, target = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        per = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if per * w[s] > 2 * sizes[s]}
+        if not over:
+            target |= {s: per * w[s] for s in open_}
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+def test_targets_by_repeated_sharing(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 20):
+        sizes = {f"s{i}": int(x) for i, x in enumerate(rng.integers(0, 1000, n))} | {None: 17}
+        df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")
+        got = {r.source: r.target for r in mixing.targets(df).collect()}
+        want = slow_targets(sizes)
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in sizes), n
+
+
+def test_mix_is_near_target_and_repeatable(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    a, b = (mixing.op9_rows(x).toPandas().sort_values("doc_id").reset_index(drop=True) for x in (docs, docs.repartition(7)))
+    pd.testing.assert_frame_equal(a, b)
+    a = a.merge(docs.select("doc_id", "source").toPandas())
+    by = a.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
+    assert (a.taken <= 2 * a["size"]).all() and ((by.taken - by.target).abs() <= 2 * by.most).all()
+
+
+def test_heavy_cells_rank_alike(docs, monkeypatch):
+    want = {tuple(r) for r in mixing.op9_rows(docs).collect()}
+    monkeypatch.setattr(mixing, "HEAVY", 1)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", -1)
+    assert {tuple(r) for r in mixing.op9_rows(docs).collect()} == want
+
+
+def test_mixed_rows(docs):
+    drawn = {r.doc_id: r.copies for r in mixing.drawn(docs).collect()}
+    out = mixing.mixed(docs)
+    got = Counter(r.doc_id for r in out.select("doc_id").collect())
+    assert out.columns == docs.columns and all(got.get(k, 0) == c for k, c in drawn.items())
+
+
+# language-model scores
+
+
+def slow_scores(texts, held):
+    c = Counter()
+    for k, t in texts.items():
+        if not held[k]:
+            c.update(t.encode().translate(LOW).split())
+            c[None] += 1
+    n, v = sum(c.values()), len(c)
+    tokens = {k: [*t.encode().translate(LOW).split(), None] for k, t in texts.items()}
+    return {k: (sum(c.get(w, 0) > 0 for w in ws), n, sum(math.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in ws), len(ws)) for k, ws in tokens.items()}
+
+
+@pytest.mark.parametrize("frequent", [150_000, 300])
+def test_base_scores_equal_brute_force(docs, texts, monkeypatch, frequent):
+    monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
+    want = slow_scores(texts, held)
+    rows = brown_lm.op10_rows(docs).collect()
+    for r in rows:
+        known, n, base, size = want[r.doc_id]
+        assert (r.held_out, r.n_known, r.train_tokens, r.n_tokens) == (held[r.doc_id], known, n, size) and math.isclose(r.base_score, base, rel_tol=1e-9)
+    out = [r for r in rows if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)  # classes help on texts not learned from
+
+
+def test_class_model_sums_to_one(docs, texts):
+    """Over all known words and one unknown one of each rest class, P(word | history) is a distribution."""
+    learn = {k: t for k, t in texts.items()}
+    c = Counter(w for t in learn.values() for w in t.encode().translate(LOW).split())
+    words = sorted(c, key=lambda w: (-c[w], w))
+    frequent = brown_lm.Frequent({w: i for i, w in enumerate(words)}, np.array([c[w] for w in words]))
+    k = min(50, len(words))
+    n = k + 1 + brown_lm.REST
+    pairs = np.zeros(n * n, np.int64)
+    kinds, _ = brown_lm.units(frequent.index, [t.encode() for t in learn.values()], k)
+    pairs += np.bincount(np.concatenate([[0], kinds[:-1]]) * n + kinds, minlength=n * n)
+    rest = {r: (sum(x for w, x in c.items() if brown_lm.rest_class(w) == r), sum(brown_lm.rest_class(w) == r for w in c)) for r in range(brown_lm.REST)}
+    m = brown_lm.fitted(frequent, pairs.reshape(n, n), k, rest, len(learn), sum(c.values()) + len(learn), len(c) + 1)
+    unit = np.array([i + 1 if i < k else k + 1 + brown_lm.rest_class(w) for i, w in enumerate(words)])
+    for history in (0, 1, k + 1):
+        p = 10 ** (m.transition[m.classes[history], m.classes[unit]] + m.emission)
+        unknown = 10 ** (m.transition[m.classes[history], m.classes[k + 1 :]] - m.rest_norm)
+        end = 10 ** m.transition[m.classes[history], m.classes[0]]
+        assert math.isclose(p.sum() + unknown.sum() + end, 1, rel_tol=1e-6)
+
+
+def test_exchange_finds_planted_classes():
+    """Words of two planted classes that always alternate."""
+    rng = np.random.default_rng(0)
+    k = 12
+    pairs = np.zeros((k + 1 + brown_lm.REST,) * 2, np.int64)
+    for a in range(1, k + 1):
+        for b in range(1, k + 1):
+            if (a % 2) != (b % 2):
+                pairs[a, b] = rng.integers(50, 100)
+    own = brown_lm.exchange(pairs, k, 2)
+    assert len(set(own[1 : k + 1 : 2])) == len(set(own[2 : k + 1 : 2])) == 1 and own[1] != own[2]
