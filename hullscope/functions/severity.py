@@ -96,7 +96,7 @@ def cvss4(vector: Column) -> Column:
     worst = F.when(reduce(lambda a, b: a & b, (x.isNotNull() for x in impact)), F.greatest(*impact))
     av = F.when(metric(vector, "AV").isNull(), F.lit(1.0)).otherwise(lookup(CVSS4["AV"], metric(vector, "AV"), F.lit(0.7)))
     ac = F.when(metric(vector, "AC").isNull(), F.lit(1.0)).otherwise(lookup(CVSS4["AC"], metric(vector, "AC"), F.lit(0.85)))
-    return F.when(worst == 0, F.lit(0.0)).otherwise(F.bround(F.least(F.lit(10.0), worst * av * ac * F.lit(17.5)), 1))
+    return F.when(worst == 0, F.lit(0.0)).when(worst.isNotNull(), F.bround(F.least(F.lit(10.0), worst * av * ac * F.lit(17.5)), 1))
 
 
 def osv_score(kind: Column, score: Column) -> Column:

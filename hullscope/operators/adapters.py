@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import from_cvss, osv_best, osv_severity, parse_severity, tool_level
 from ..functions.text import cves_in, endpoint, filled, without_tags
-from ..schemas import FINDING
+from ..schemas import FINDING_FIELDS
 
-NO_STRINGS = F.array().cast("array<string>")
+def no_strings() -> Column:
+    return F.array().cast("array<string>")
 
 
 def text(value: Column | str | None, most: int | None = None) -> Column:
@@ -25,14 +26,14 @@ def text(value: Column | str | None, most: int | None = None) -> Column:
 
 def present(items: Column, most: int = 10) -> Column:
     """The non-empty ones, the first few."""
-    return F.slice(F.filter(F.coalesce(items, NO_STRINGS), lambda x: F.coalesce(x, F.lit("")) != ""), 1, most)
+    return F.slice(F.filter(F.coalesce(items, no_strings()), lambda x: F.coalesce(x, F.lit("")) != ""), 1, most)
 
 
 def finding(rows: DataFrame, scanner: str, category: str | Column, severity: Column, **own: Column) -> DataFrame:
     """The columns of a finding; what isn't given is empty, cvss and target_ip null."""
-    defaults = {f.name: F.lit("") for f in FINDING.fields} | {"cvss": F.lit(None).cast("double"), "cves": NO_STRINGS, "references": NO_STRINGS}
+    defaults = {name: F.lit("") for name, _ in FINDING_FIELDS} | {"cvss": F.lit(None).cast("double"), "cves": no_strings(), "references": no_strings()}
     cols = defaults | own | {"scanner": F.lit(scanner), "category": F.lit(category) if isinstance(category, str) else category, "severity": severity, "target_image": F.col("image"), "target_name": F.col("name"), "target_ip": F.col("ip")}
-    return rows.select(*(cols[f.name].cast(f.dataType).alias(f.name) for f in FINDING.fields))
+    return rows.select(*(cols[name].cast(kind).alias(name) for name, kind in FINDING_FIELDS))
 
 
 def parsed(docs: DataFrame, ddl: str) -> DataFrame:
@@ -46,7 +47,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def syft(docs: DataFrame) -> DataFrame:
     a = parsed(docs, "artifacts array<struct<name:string,version:string,type:string,purl:string,licenses:array<string>,locations:array<struct<path:string>>>>").select("image", "name", "ip", F.explode("d.artifacts").alias("a"))
-    license_ = F.transform(F.coalesce("a.licenses", NO_STRINGS), lambda x: F.coalesce(F.get_json_object(x, "$.value"), x))
+    license_ = F.transform(F.coalesce("a.licenses", no_strings()), lambda x: F.coalesce(F.get_json_object(x, "$.value"), x))
     return finding(
         a, "syft", "sbom-component", F.lit("info"), id=filled(F.col("a.purl"), F.concat(text(F.col("a.name")), F.lit("@"), text(F.col("a.version")))), title=text(F.col("a.name")), version=text(F.col("a.version")), package=text(F.col("a.name")),
         ecosystem=text(F.col("a.type")), description=F.array_join(license_, ", "), location=text(F.try_element_at(present(F.col("a.locations.path")), F.lit(1))),
@@ -65,12 +66,12 @@ def trivy(docs: DataFrame) -> DataFrame:
     vulns = finding(
         v, "trivy", "pkg-vuln", parse_severity(F.col("v.Severity")), id=text(F.col("v.VulnerabilityID")), title=filled(F.col("v.Title"), text(F.col("v.VulnerabilityID"))), description=text(F.col("v.Description"), 1000), cvss=score, package=text(F.col("v.PkgName")),
         version=text(F.col("v.InstalledVersion")), fixed_version=text(F.col("v.FixedVersion")), ecosystem=text(F.col("r.Type")), location=filled(F.col("v.PkgPath"), F.col("loc")),
-        cves=F.when(F.size(own) > 0, own).otherwise(cves_in(F.array_join(F.coalesce("v.References", NO_STRINGS), " "))), references=F.slice(F.coalesce("v.References", NO_STRINGS), 1, 10),
+        cves=F.when(F.size(own) > 0, own).otherwise(cves_in(F.array_join(F.coalesce("v.References", no_strings()), " "))), references=F.slice(F.coalesce("v.References", no_strings()), 1, 10),
     )
     s = r.select("*", F.explode("r.Secrets").alias("s"))
     secrets = finding(s, "trivy", "secret", parse_severity(F.col("s.Severity")), id=text(F.col("s.RuleID")), title=filled(F.col("s.Title"), F.coalesce("s.Category", F.lit("secret"))), description=text(F.col("s.Match"), 300), location=F.concat("loc", F.lit(":"), text(F.col("s.StartLine"))))
     m = r.select("*", F.explode("r.Misconfigurations").alias("m"))
-    configs = finding(m, "trivy", "image-config", parse_severity(F.col("m.Severity")), id=text(F.col("m.ID")), title=filled(F.col("m.Title"), text(F.col("m.ID"))), description=F.substring(filled(F.col("m.Description"), text(F.col("m.Message"))), 1, 600), location=F.col("loc"), references=F.slice(F.coalesce("m.References", NO_STRINGS), 1, 5))
+    configs = finding(m, "trivy", "image-config", parse_severity(F.col("m.Severity")), id=text(F.col("m.ID")), title=filled(F.col("m.Title"), text(F.col("m.ID"))), description=F.substring(filled(F.col("m.Description"), text(F.col("m.Message"))), 1, 600), location=F.col("loc"), references=F.slice(F.coalesce("m.References", no_strings()), 1, 5))
     return vulns.unionByName(secrets).unionByName(configs)
 
 
@@ -80,11 +81,11 @@ def grype(docs: DataFrame) -> DataFrame:
     m = parsed(docs, ddl).select("image", "name", "ip", F.explode("d.matches").alias("m")).select("image", "name", "ip", "m.vulnerability", "m.artifact")
     score = F.array_max("vulnerability.cvss.metrics.baseScore")
     sev, own = F.col("vulnerability.severity"), cves_in(F.col("vulnerability.id"))
-    related = F.filter(F.coalesce("vulnerability.relatedVulnerabilities.id", NO_STRINGS), lambda x: F.upper(x).startswith("CVE"))
-    link = F.transform(F.coalesce("vulnerability.urls", NO_STRINGS), lambda x: F.coalesce(F.get_json_object(x, "$.url"), x))
+    related = F.filter(F.coalesce("vulnerability.relatedVulnerabilities.id", no_strings()), lambda x: F.upper(x).startswith("CVE"))
+    link = F.transform(F.coalesce("vulnerability.urls", no_strings()), lambda x: F.coalesce(F.get_json_object(x, "$.url"), x))
     return finding(
         m, "grype", "pkg-vuln", F.when((text(sev) != "") & (sev != "Unknown"), parse_severity(sev)).otherwise(from_cvss(score)), id=text(F.col("vulnerability.id")), title=text(F.col("vulnerability.id")), description=text(F.col("vulnerability.description"), 1000), cvss=score,
-        package=text(F.col("artifact.name")), version=text(F.col("artifact.version")), fixed_version=F.array_join(F.coalesce("vulnerability.fix.versions", NO_STRINGS), ", "), ecosystem=text(F.col("artifact.type")),
+        package=text(F.col("artifact.name")), version=text(F.col("artifact.version")), fixed_version=F.array_join(F.coalesce("vulnerability.fix.versions", no_strings()), ", "), ecosystem=text(F.col("artifact.type")),
         location=text(F.try_element_at(present(F.col("artifact.locations.path")), F.lit(1))), cves=F.when(F.size(own) > 0, own).otherwise(related), references=F.slice(link, 1, 10),
     )
 
@@ -94,7 +95,7 @@ def osv(docs: DataFrame) -> DataFrame:
       vulnerabilities:array<struct<id:string,aliases:array<string>,summary:string,details:string,severity:array<struct<type:string,score:string>>,database_specific:struct<severity:string>,references:array<struct<url:string>>>>>>>>"""
     r = parsed(docs, ddl).select("image", "name", "ip", F.explode("d.results").alias("r"))
     v = r.select("image", "name", "ip", F.col("r.source.path").alias("path"), F.explode("r.packages").alias("k")).select("image", "name", "ip", "path", "k.package", F.explode("k.vulnerabilities").alias("v"))
-    alias = F.filter(F.coalesce("v.aliases", NO_STRINGS), lambda x: F.upper(x).startswith("CVE"))
+    alias = F.filter(F.coalesce("v.aliases", no_strings()), lambda x: F.upper(x).startswith("CVE"))
     vid = F.coalesce(F.try_element_at(alias, F.lit(1)), text(F.col("v.id")))
     return finding(
         v, "osv", "pkg-vuln", osv_severity(F.col("v.severity"), F.col("v.database_specific.severity")), id=vid, title=F.substring(filled(F.col("v.summary"), vid), 1, 200), description=text(F.col("v.details"), 1000), cvss=osv_best(F.col("v.severity")),
@@ -104,7 +105,7 @@ def osv(docs: DataFrame) -> DataFrame:
 
 def dockle(docs: DataFrame) -> DataFrame:
     d = parsed(docs, "details array<struct<code:string,title:string,level:string,alerts:array<string>>>").select("image", "name", "ip", F.explode("d.details").alias("x")).where(~F.upper(text(F.col("x.level"))).isin("PASS", "SKIP", "IGNORE"))
-    return finding(d, "dockle", "image-config", tool_level("dockle", F.col("x.level")), id=text(F.col("x.code")), title=filled(F.col("x.title"), text(F.col("x.code"))), description=F.substring(F.array_join(F.coalesce("x.alerts", NO_STRINGS), "; "), 1, 800))
+    return finding(d, "dockle", "image-config", tool_level("dockle", F.col("x.level")), id=text(F.col("x.code")), title=filled(F.col("x.title"), text(F.col("x.code"))), description=F.substring(F.array_join(F.coalesce("x.alerts", no_strings()), "; "), 1, 800))
 
 
 def trufflehog(docs: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def dependency_check(docs: DataFrame) -> DataFrame:
     score = "struct<baseScore:double,score:double>"
     ddl = f"dependencies array<struct<fileName:string,filePath:string,packages:array<struct<id:string>>,vulnerabilities:array<struct<name:string,severity:string,description:string,cvssv2:{score},cvssv3:{score},cvssv4:{score},references:array<struct<url:string>>>>>>"
     d = parsed(docs, ddl).select("image", "name", "ip", F.explode("d.dependencies").alias("x"))
-    d = d.select("image", "name", "ip", filled(F.col("x.fileName"), text(F.col("x.filePath"))).alias("file"), text(F.try_element_at(F.filter(F.coalesce("x.packages.id", NO_STRINGS), lambda p: p.startswith("pkg:")), F.lit(1))).alias("purl"), F.explode("x.vulnerabilities").alias("v"))
+    d = d.select("image", "name", "ip", filled(F.col("x.fileName"), text(F.col("x.filePath"))).alias("file"), text(F.try_element_at(F.filter(F.coalesce("x.packages.id", no_strings()), lambda p: p.startswith("pkg:")), F.lit(1))).alias("purl"), F.explode("x.vulnerabilities").alias("v"))
     bare = F.substr("purl", F.lit(5))
     name = F.col("v.name")
     return finding(
@@ -163,7 +164,7 @@ def yara(docs: DataFrame) -> DataFrame:
     match = r"^(\S+)\s+(/scan/\S.*)$"
 
     def step(found: Column, line: Column) -> Column:
-        opened = F.concat(found, F.array(F.struct(F.regexp_extract(line, match, 1).alias("rule"), F.regexp_extract(line, match, 2).alias("path"), NO_STRINGS.alias("strings"))))
+        opened = F.concat(found, F.array(F.struct(F.regexp_extract(line, match, 1).alias("rule"), F.regexp_extract(line, match, 2).alias("path"), no_strings().alias("strings"))))
         last = F.element_at(found, -1)
         longer = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.struct(last["rule"].alias("rule"), last["path"].alias("path"), F.concat(last["strings"], F.array(F.trim(line))).alias("strings"))))
         return F.when(line.rlike(match), opened).when((F.size(found) > 0) & line.startswith("0x"), longer).otherwise(found)
@@ -184,7 +185,7 @@ def nuclei(docs: DataFrame) -> DataFrame:
     at = filled(F.col("d.`matched-at`"), text(F.col("d.host")))
     return finding(
         r, "nuclei", "web-vuln", parse_severity(F.col("d.info.severity")), id=filled(F.col("d.`template-id`"), text(F.col("d.templateID"))), title=text(F.col("d.info.name")), description=text(F.col("d.info.description"), 800), cvss=F.col("d.info.classification.`cvss-score`"), location=at,
-        endpoint=filled(endpoint(at), endpoint(F.col("d.host"))), cves=F.transform(F.coalesce("d.info.classification.`cve-id`", NO_STRINGS), F.upper), references=F.slice(F.coalesce("d.info.reference", NO_STRINGS), 1, 10),
+        endpoint=filled(endpoint(at), endpoint(F.col("d.host"))), cves=F.transform(F.coalesce("d.info.classification.`cve-id`", no_strings()), F.upper), references=F.slice(F.coalesce("d.info.reference", no_strings()), 1, 10),
     )
 
 
@@ -210,7 +211,7 @@ def zap(docs: DataFrame) -> DataFrame:
 def sqlmap(docs: DataFrame) -> DataFrame:
     """Logs that record an injection point, and any JSON object that isn't empty."""
     log = docs.where(F.col("doc").contains("is vulnerable") | F.col("doc").contains("Parameter:"))
-    other = docs.where(F.ltrim("doc").startswith("{") & F.try_parse_json("doc").isNotNull() & (F.size(F.coalesce(F.json_object_keys("doc"), NO_STRINGS)) > 0))
+    other = docs.where(F.ltrim("doc").startswith("{") & F.try_parse_json("doc").isNotNull() & (F.size(F.coalesce(F.json_object_keys("doc"), no_strings())) > 0))
     own = lambda rows, title: finding(rows, "sqlmap", "web-vuln", F.lit("high"), id=F.lit("sqli"), title=F.lit(title), description=text(F.col("doc"), 2000))
     return own(log, "SQL injection confirmed by sqlmap").unionByName(own(other, "sqlmap result"))
 

@@ -105,7 +105,7 @@ def running_sum(rows: DataFrame, pos: str, value: str, name: str, block: int = 1
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n and rho; 0 for fewer than three rows or no variance."""
     own = average_ranks(average_ranks(rows.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "__rx"), y, "__ry")
-    r = F.corr("__rx", "__ry")
+    r = F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry"))
     return own.agg(F.count(F.lit(1)).alias("n"), r.alias("r")).select("n", F.when((F.col("n") < 3) | F.col("r").isNull() | F.isnan("r"), F.lit(0.0)).otherwise(F.col("r")).alias("rho"))
 
 

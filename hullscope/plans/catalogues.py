@@ -67,7 +67,7 @@ def job_rows(s, d):
 
 query("queue_claim", "SELECT id, CASE WHEN k <= 10 THEN 'running' ELSE status END AS status, CAST(CASE WHEN k <= 10 THEN attempts + 1 ELSE attempts END AS INTEGER) AS attempts FROM (SELECT id, status, attempts, CASE WHEN status = 'pending' THEN row_number() OVER (PARTITION BY status ORDER BY weight DESC, id) END AS k FROM {jobs})")(lambda s, d: queue.claim(job_rows(s, d), "w1", 10, 1000.0).select("id", "status", "attempts"))
 query("queue_reclaim_stale", "SELECT id, CASE WHEN status = 'running' AND coalesce(heartbeat_at, started_at) < 2000 - 1000 THEN 'pending' ELSE status END AS status FROM {jobs}")(lambda s, d: queue.reclaim_stale(job_rows(s, d), 2000.0, 1000.0).select("id", "status"))
-query("queue_trim", "SELECT id FROM {jobs} WHERE status <> 'pending' OR weight >= (SELECT weight FROM {jobs} WHERE status = 'pending' ORDER BY weight DESC, id LIMIT 1 OFFSET 999)")(lambda s, d: queue.trimmed(J(s, d), 1000).select("id"))
+query("queue_trim", "SELECT id FROM {jobs} WHERE status <> 'pending' OR weight >= (SELECT weight FROM {jobs} WHERE status = 'pending' ORDER BY weight DESC, id LIMIT 1 OFFSET 99)")(lambda s, d: queue.trimmed(J(s, d), 100).select("id"))
 query("queue_reweighted", "SELECT j.id, coalesce(w, weight) AS weight FROM {jobs} j LEFT JOIN (SELECT 'img' || CAST(image AS VARCHAR) AS image, max(CAST(exposure AS DOUBLE)) AS w FROM {images} WHERE image % 2 = 0 GROUP BY 1) r USING (image)")(
     lambda s, d: queue.reweighted(J(s, d), I(s, d).where("image % 2 = 0").select(F.concat(F.lit("img"), F.col("image").cast("string")).alias("image"), F.col("exposure").cast("double").alias("weight"))).select("id", "weight")
 )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import filled, normal_image
 
@@ -18,7 +17,7 @@ def sampled(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-def json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str, bad: str = "skip") -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: str, bad: str = "skip") -> DataFrame:
     """bad: 'skip' leaves unreadable lines out, 'fail' ends with the first one."""
     return spark.read.schema(schema).option("mode", {"skip": "DROPMALFORMED", "fail": "FAILFAST"}[bad]).json(path)
 
@@ -26,7 +25,7 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: StructType |
 def checked_lines(spark: SparkSession, path: str) -> DataFrame:
     """Target list as JSON lines: '#' lines and blank ones are comments; a row names its image, or repository and tag. A line that isn't JSON ends the read with its text."""
     raw = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' AND NOT startswith(value, '#')")
-    ok = F.try_parse_json("value").isNotNull()
+    ok = F.try_parse_json("value").isNotNull() | (F.col("value") == "") | F.col("value").startswith("#")  # the filter may run later
     own = raw.select(F.when(ok, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), "value"))).alias("value"))
     d = own.select(F.from_json("value", "image string, repository_namespace string, repository_name string, tag_name string, weights double, weight double").alias("d")).select("d.*")
     ns = F.when(F.coalesce("repository_namespace", F.lit("")).isin("", "library"), F.lit("")).otherwise(F.concat("repository_namespace", F.lit("/")))
@@ -71,12 +70,12 @@ def documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return df.select(F.input_file_name().alias("path"), F.element_at(F.split(F.input_file_name(), "/"), -2).alias("slug"), F.col("value").alias("doc"))
 
 
-def reports(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Reports stored one file each; documents that don't parse are left out."""
     return documents(spark, path, "report.json").where(F.try_parse_json("doc").isNotNull()).select("slug", F.from_json("doc", schema).alias("r")).select("slug", "r.*")
 
 
-def stored_reports(df: DataFrame, schema: StructType, max_bytes: int = 256 << 20) -> DataFrame:
+def stored_reports(df: DataFrame, schema: str, max_bytes: int = 256 << 20) -> DataFrame:
     """(image, report_json) rows parsed; oversize and broken documents are left out before parsing."""
     return df.where((F.octet_length("report_json") <= max_bytes) & F.try_parse_json("report_json").isNotNull()).select("image", F.from_json("report_json", schema).alias("r"))
 
