@@ -21,13 +21,13 @@ def seed(jobs: DataFrame, targets: DataFrame, now: float) -> DataFrame:
     from pyspark.sql import Window
 
     new = targets.withColumn("rn", F.row_number().over(Window.partitionBy("image").orderBy("seq"))).where("rn = 1").join(jobs.select("image"), "image", "left_anti")
-    start = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
+    start = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     from .stats import ranked
 
-    rows = ranked(new, [F.col("seq"), F.col("image")]).join(F.broadcast(start), F.lit(True))  # one row
+    rows = ranked(new, [F.col("seq"), F.col("image")])
     none = lambda kind: F.lit(None).cast(kind)
     rows = rows.select(
-        (F.col("start") + F.col("pos") + 1).alias("id"), "image", F.coalesce("name", "image").alias("name"), none("string").alias("target_json"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit("pending").alias("status"), none("string").alias("worker_id"),
+        (F.lit(start) + F.col("pos") + 1).alias("id"), "image", F.coalesce("name", "image").alias("name"), none("string").alias("target_json"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit("pending").alias("status"), none("string").alias("worker_id"),
         F.lit(0).alias("attempts"), none("string").alias("error"), F.lit(now).alias("created_at"), none("double").alias("started_at"), none("double").alias("heartbeat_at"), none("double").alias("finished_at"),
     )
     return jobs.unionByName(rows)
@@ -99,9 +99,8 @@ def trimmed(jobs: DataFrame, keep: int) -> DataFrame:
     from .stats import ranked, running_sum
 
     placed = running_sum(ranked(weights, [F.col("weight").desc()], "p"), "p", "n", "before")
-    cut = placed.where((F.col("before") < keep) & (F.col("before") + F.col("n") >= keep)).agg(F.max("weight").alias("__cut"))
-    rows = jobs.join(F.broadcast(cut), F.lit(True), "left")  # one row
-    return rows.where((F.col("status") != "pending") | F.col("__cut").isNull() | (F.col("weight") >= F.col("__cut"))).select(*jobs.columns)
+    cut = placed.where((F.col("before") < keep) & (F.col("before") + F.col("n") >= keep)).agg(F.max("weight")).first()[0]
+    return jobs if cut is None else jobs.where((F.col("status") != "pending") | (F.col("weight") >= cut))
 
 
 def preserved(before: DataFrame, after: DataFrame) -> bool:

@@ -42,7 +42,9 @@ def true_median(value: str | Column) -> Column:
 
 def _positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     own = rows.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    if not keys:
+        return ranked(own.select(F.col(value).alias("__v")), [F.col("__v")], "__i").withColumn("__n", F.lit(own.count()))
+    w = Window.partitionBy(*keys)
     return own.select(*keys, F.col(value).alias("__v"), (F.row_number().over(w.orderBy(value)) - 1).alias("__i"), F.count(F.lit(1)).over(w).alias("__n"))
 
 

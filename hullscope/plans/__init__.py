@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("prevalence", "statistics", "graphs", "catalogues")
+MODULES = ("prevalence", "statistics", "graphs", "catalogues", "corpus")
 
 
 def load() -> tuple[dict, dict]:

@@ -29,7 +29,8 @@ def owned(s, d):
 query("forest_parents", f"SELECT child, parent, multiparent FROM {FOREST}")(forest)
 query("forest_roots", "SELECT parent AS node, count(DISTINCT child) AS children FROM {edges} WHERE parent NOT IN (SELECT child FROM {edges}) GROUP BY parent")(lambda s, d: graph.roots(views.edges(s, d)))
 query("graph_counts", "SELECT (SELECT count(*) FROM {edges}) AS edges, (SELECT count(*) FROM (SELECT parent AS n FROM {edges} UNION SELECT child FROM {edges})) AS nodes, (SELECT count(DISTINCT node) FROM {refs}) AS image_nodes")(
-    lambda s, d: views.edges(s, d).agg(F.count(F.lit(1)).alias("edges")).join(views.edges(s, d).select(F.explode(F.array("parent", "child")).alias("n")).agg(F.count_distinct("n").alias("nodes")), F.lit(True)).join(views.refs(s, d).agg(F.count_distinct("node").alias("image_nodes")), F.lit(True))
+    lambda s, d: views.edges(s, d).select(F.lit("edges").alias("what"), F.lit(None).cast("bigint").alias("n")).unionAll(views.edges(s, d).select(F.lit("nodes"), F.explode(F.array("parent", "child")))).unionAll(views.refs(s, d).select(F.lit("image_nodes"), "node"))
+    .agg(F.count_if(F.col("what") == "edges").alias("edges"), F.count_distinct(F.when(F.col("what") == "nodes", F.col("n"))).alias("nodes"), F.count_distinct(F.when(F.col("what") == "image_nodes", F.col("n"))).alias("image_nodes"))
 )
 query("node_pulls", "SELECT node, CAST(max(pull) AS BIGINT) AS pull FROM {refs} GROUP BY node")(lambda s, d: graph.node_pulls(views.refs(s, d)))
 query("attributed_downstream", f"WITH {UP} SELECT * FROM owned")(owned)

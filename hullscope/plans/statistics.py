@@ -89,7 +89,7 @@ query("above_median_share", f"SELECT status, round(count(*) FILTER (pull > m) *
 )
 query("volume_spread", "SELECT round(max(n) / CAST(min(n) AS DOUBLE), 6) AS spread FROM (SELECT count(*) AS n FROM {findings} GROUP BY scanner)")(lambda s, d: views.findings(s, d).groupBy("scanner").agg(F.count(F.lit(1)).alias("n")).agg(F.round(F.max("n") / F.min("n"), 6).alias("spread")))
 query("running_marginal_share", "SELECT scanner, n, round(CAST(sum(n) OVER (ORDER BY n DESC, scanner) AS DOUBLE) / sum(n) OVER (), 6) AS share FROM (SELECT scanner, count(*) AS n FROM {findings} GROUP BY scanner)")(
-    lambda s, d: stats.running_sum(stats.ranked(views.findings(s, d).groupBy("scanner").agg(F.count(F.lit(1)).alias("n")), [F.col("n").desc(), F.col("scanner")]), "pos", "n", "b").join(F.broadcast(views.findings(s, d).agg(F.count(F.lit(1)).alias("t"))), F.lit(True)).select("scanner", "n", F.round((F.col("b") + F.col("n")) / F.col("t"), 6).alias("share"))
+    lambda s, d: stats.running_sum(stats.ranked(views.findings(s, d).groupBy("scanner").agg(F.count(F.lit(1)).alias("n")), [F.col("n").desc(), F.col("scanner")]), "pos", "n", "b").select("scanner", "n", F.round((F.col("b") + F.col("n")) / F.lit(views.findings(s, d).count()), 6).alias("share"))
 )
 query("decile_sizes", "SELECT CAST((10 * (row_number() OVER (ORDER BY pull, image) - 1) + 9) // count(*) OVER () AS INTEGER) AS decile, image FROM {images}")(lambda s, d: stats.deciles(images(s, d), "pull", "image").select("decile", "image"))
 query("throughput", "SELECT date_diff('second', min(ts), max(ts)) AS span_s, round(count(*) / (date_diff('second', min(ts), max(ts)) / 60.0E0), 3) AS per_minute, count(*) AS n, round(avg(value), 4) AS avg_value FROM events")(
