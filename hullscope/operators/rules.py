@@ -94,40 +94,49 @@ def installed_content(layers: DataFrame, key: str, instruction: str) -> DataFram
     return layers.select(key, F.explode(F.concat(pip, npm, wget, add)).alias("x")).select(key, "x.*")
 
 
-#: Configuration files by path pattern.
-CONFIG_FILES = [("mongo", r"(^|/)mongod?\.conf$"), ("redis", r"(^|/)redis[^/]*\.conf$"), ("nginx", r"(^|/)nginx[^/]*\.conf$|(^|/)nginx/.*\.conf$"), ("couchdb", r"(^|/)(local|default)\.ini$"), ("mosquitto", r"(^|/)mosquitto[^/]*\.conf$"), ("elasticsearch", r"(^|/)elasticsearch\.ya?ml$")]
+#: Configuration files by path pattern, in the order in which they are tried.
+CONFIG_FILES = [("mongo", r"mongod?\.conf$"), ("couchdb", r"(default|local)(\.d/\S+)?\.ini$"), ("redis", r"redis\.conf$"), ("nginx", r"nginx\.conf$"), ("mosquitto", r"mosquitto\.conf$"), ("elasticsearch", r"elasticsearch\.yml$")]
+#: Severity and score of the three kinds of issue; listening everywhere without authentication is worst.
+UNAUTHORISED, EVERYWHERE, EVERYWHERE_OPEN, TRAVERSAL = ("medium", 5.0), ("medium", 4.0), ("critical", 10.0), ("low", 3.0)
 
 
 def config_app(path: Column) -> Column:
     return reduce(lambda acc, x: acc.when(path.rlike(x[1]), x[0]), CONFIG_FILES, F).otherwise(F.lit(None).cast("string"))
 
 
+def lists_directories(lines: Column) -> Column:
+    """nginx: is 'autoindex on' met in a location whose path doesn't end in '/', or in none, before any alias?"""
+    start = F.struct(F.lit(False).alias("closed"), F.lit(False).alias("over"), F.lit(False).alias("found"))
+
+    def step(state: Column, line: Column) -> Column:
+        place = F.regexp_extract(line, r"location\s+(\S+)", 1)
+        closed = F.when(place != "", (F.length(place) > 1) & place.endswith("/")).otherwise(state["closed"])
+        found = ~state["over"] & ~closed & ~line.rlike(r"alias\s+\S+") & line.rlike(r"autoindex\s+on")
+        return F.struct(closed.alias("closed"), (state["over"] | found | line.rlike(r"alias\s+\S+")).alias("over"), (state["found"] | found).alias("found"))
+
+    return F.aggregate(lines, start, step, lambda s: s["found"])
+
+
 def config_issues(app: Column, text: Column) -> Column:
-    """array<struct<issue, severity>> of one configuration file; lines that start with '#' or ';' don't count."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\r?\\n"), lambda x: F.trim(x)), lambda x: ~x.rlike("^[#;]"))
+    """array<struct<issue, severity, score>> of one configuration file; lines that start with '#' don't count.
+
+    Without authentication: mongo unless authorization is enabled, couchdb unless a valid user is required, redis without a
+    password, mosquitto that allows anonymous clients, elasticsearch with security switched off (on by default).
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\r?\\n"), lambda x: F.trim(x)), lambda x: ~x.startswith("#"))
     has = lambda p: F.exists(lines, lambda x: x.rlike(p))
-    open_bind = has(r"(?i)^(bind(_?ip)?(_address)?|network\.host)\s*[:= ]\s*.*(0\.0\.0\.0|::)") | has(r"(?i)bindIpAll\s*:\s*true")
-    no_auth = (
-        F.when(app == "mongo", ~has(r"(?i)authorization\s*:\s*\"?enabled|^auth\s*=\s*true"))
-        .when(app == "redis", ~has(r"^requirepass\s+\S+"))
-        .when(app == "couchdb", ~has(r"(?i)^require_valid_user\s*=\s*true"))
-        .when(app == "mosquitto", has(r"(?i)^allow_anonymous\s+true") | ~has(r"(?i)^(password_file|allow_anonymous)"))
-        .when(app == "elasticsearch", has(r"(?i)^xpack\.security\.enabled\s*:\s*false"))
+    open_ = (
+        F.when(app == "mongo", ~has("^authorization\\s*:\\s*[\"']?enabled[\"']?\\s*(#.*)?$"))
+        .when(app == "couchdb", ~has(r"(?i)^require_valid_user\s*=\s*(true|1|yes|on|t|y)\s*$"))
+        .when(app == "redis", ~has(r"requirepass\s+\S+"))
+        .when(app == "mosquitto", has(r"allow_anonymous\s+true"))
+        .when(app == "elasticsearch", has(r"^xpack\.security\.enabled\s*:\s*false\b"))
         .otherwise(F.lit(False))
     )
-    protected_off = F.when(app == "redis", has(r"(?i)^protected-mode\s+no")).otherwise(F.lit(False))
-    listing = F.when(app == "nginx", has(r"(?i)^autoindex\s+on")).otherwise(F.lit(False))
-    open_bind = F.when(app == "nginx", F.lit(False)).otherwise(open_bind)
-    issue = lambda when, name, severity: F.when(when, F.struct(F.lit(name).alias("issue"), severity.alias("severity")))
-    return F.filter(
-        F.array(
-            issue(no_auth, "no-authentication", F.when(open_bind, "critical").otherwise("high")),
-            issue(open_bind, "binds-all-interfaces", F.lit("medium")),
-            issue(protected_off, "protected-mode-off", F.lit("high")),
-            issue(listing, "directory-listing", F.lit("low")),
-        ),
-        lambda x: x.isNotNull(),
-    )
+    everywhere = (app == "mongo") & (has(r"^bindIp\s*:.*(0.0.0.0|::)") | has(r"^bindIpAll\s*:\s*true\b"))
+    issue = lambda when, name, grade: F.when(when, F.struct(F.lit(name).alias("issue"), F.lit(grade[0]).alias("severity"), F.lit(grade[1]).alias("score")))
+    found = F.array(issue(open_, "no-authentication", UNAUTHORISED), issue(everywhere & ~open_, "binds-all-interfaces", EVERYWHERE), issue(everywhere & open_, "binds-all-interfaces", EVERYWHERE_OPEN), issue((app == "nginx") & lists_directories(lines), "directory-traversal", TRAVERSAL))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def topmost(rows: DataFrame, image: str = "image", path: str = "path", layer: str = "layer") -> DataFrame:

@@ -126,10 +126,14 @@ def test_pip_words(spark):
 
 def test_config_issues(spark):
     issues = lambda app, text: {x.issue: x.severity for x in value(spark, rules.config_issues(F.lit(app), F.lit(text)))}
-    assert issues("mongo", "net:\n  bindIp: 0.0.0.0\n") == {"no-authentication": "critical", "binds-all-interfaces": "medium"}
-    assert issues("mongo", "security:\n  authorization: enabled\n") == {}
-    assert issues("redis", "# requirepass x\nprotected-mode no\n") == {"no-authentication": "high", "protected-mode-off": "high"}
-    assert issues("nginx", "autoindex on;") == {"directory-listing": "low"}
+    assert issues("mongo", "net:\n  bindIp: 0.0.0.0\n") == {"no-authentication": "medium", "binds-all-interfaces": "critical"}
+    assert issues("mongo", "security:\n  authorization: enabled\nnet:\n  bindIpAll: true") == {"binds-all-interfaces": "medium"}
+    assert issues("redis", "# requirepass x\n") == {"no-authentication": "medium"} and issues("redis", "requirepass x") == {}
+    assert issues("couchdb", "[chttpd]\nrequire_valid_user = true") == {} and issues("couchdb", "") == {"no-authentication": "medium"}
+    assert issues("mosquitto", "allow_anonymous true") == {"no-authentication": "medium"} and issues("mosquitto", "") == {}
+    assert issues("elasticsearch", "xpack.security.enabled: false") == {"no-authentication": "medium"} and issues("elasticsearch", "") == {}
+    assert issues("nginx", "autoindex on;") == {"directory-traversal": "low"}
+    assert issues("nginx", "location /a/ {\n autoindex on;") == {} and issues("nginx", "alias /x;\nautoindex on;") == {}
     assert value(spark, rules.config_app(F.lit("/etc/redis/redis.conf"))) == "redis"
 
 
