@@ -133,20 +133,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows whose text a larger doc_id has too; rows that repeat doc_id and text become one.
 
-    Rows that the filter doesn't flag keep their place; only flagged rows meet in a shuffle.
+    Rows that the filter doesn't flag keep their place; only flagged rows meet in a shuffle (always a merge join: the
+    survivors grow with the corpus, so they are broadcast at no size).
     """
     spark = docs.sparkSession
     columns = docs.columns
     body = F.coalesce(F.col(text), F.lit(""))
     hashes = written(hashed(docs, key, text), "hashes")
     maybe = candidate_column(spark, hashes)
-    keep = hashes.where(maybe("h")).groupBy("sha").agg(F.max("doc_id").alias("__keep"))
-    keep = written(keep.select(F.col("sha").alias("__sha"), "__keep"), "survivors")
+    one = lambda sha, id_: F.concat(F.lower(F.hex(sha)), F.lit(":"), F.coalesce(id_.cast("string"), F.lit("")))
+    keep = hashes.where(maybe("h")).groupBy("sha").agg(F.max("doc_id").alias("doc_id"))
+    keep = written(keep.select(one(F.col("sha"), F.col("doc_id")).alias("__one")), "survivors")
     marked = docs.withColumn("__maybe", maybe(F.xxhash64(body)))
     straight = marked.where(~F.col("__maybe")).select(*columns)
-    rest = marked.where("__maybe").withColumn("__own", F.unhex(F.sha2(body.cast("binary"), 256)))
-    rest = rest.join(keep, (F.col("__own") == F.col("__sha")) & F.col(key).eqNullSafe(F.col("__keep")), "left_semi")
-    return straight.unionByName(rest.dropDuplicates([key, "__own"]).select(*columns))
+    # one column, sha and doc_id together, for the join and for repeated rows: one shuffle, and no copy's hash is hot in it
+    rest = marked.where("__maybe").withColumn("__one", one(F.unhex(F.sha2(body.cast("binary"), 256)), F.col(key)))
+    rest = rest.join(keep.hint("merge"), "__one", "left_semi")
+    return straight.unionByName(rest.dropDuplicates(["__one"]).select(*columns))
 
 
 def op2_rows(docs: DataFrame) -> DataFrame:
