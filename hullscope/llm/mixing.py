@@ -33,7 +33,7 @@ filled AS (SELECT source, size, w, sum(size) OVER () AS total, sum(w) OVER () AS
   coalesce(sum(2 * size) OVER (ORDER BY 2.0E0 * size / w, CASE WHEN source IS NULL THEN 1 ELSE 0 END, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
   coalesce(sum(w) OVER (ORDER BY 2.0E0 * size / w, CASE WHEN source IS NULL THEN 1 ELSE 0 END, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped_w FROM ranked),
 level AS (SELECT max(CAST(3 * total - 2 * capped AS DOUBLE) / CAST(2 * (all_w - capped_w) AS DOUBLE)) AS per_w FROM filled WHERE 2.0E0 * size / w >= CAST(3 * total - 2 * capped AS DOUBLE) / CAST(2 * (all_w - capped_w) AS DOUBLE)),
-targets AS (SELECT source, CAST(size AS BIGINT) AS source_size, CASE WHEN per_w IS NULL THEN 2.0E0 * size ELSE least(2.0E0 * size, per_w * w) END AS target FROM ranked LEFT JOIN level ON 1 = 1)
+targets AS (SELECT source, CAST(size AS BIGINT) AS source_size, coalesce(least(2.0E0 * size, (SELECT per_w FROM level) * w), 2.0E0 * size) AS target FROM ranked)
 """
 
 
@@ -91,7 +91,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     """docs with each row as often as it is drawn. Repeated rows of a key share the copies of one of them (their least)."""
     out = drawn(docs, key, source, text).groupBy("doc_id").agg(F.min("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
     out = written(out.where("__copies > 0"), "drawn")
-    rows = docs.join(out, F.col(key).eqNullSafe(F.col("__id")))
+    # what is drawn grows with the corpus: never broadcast, so the plan is one and the same at every size
+    rows = docs.join(out.hint("merge"), F.col(key).eqNullSafe(F.col("__id")))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
