@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, written
 
-HEAVY = 20_000
+HEAVY = 1_000
 BROADCAST_ROWS = 100_000
 SEED = "mix-1"
 
