@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one slice of a batch holds at most, but for a single longer text.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 3_000_000
+
+#: Bytes of a batch that crosses between the JVM and Python.
+BATCH_BYTES = 8 << 20
 
 #: A word is a run of bytes other than these six; ``bytes.split`` without arguments splits at exactly them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,12 +70,20 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         yield first, run
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES between the JVM and Python, unless the session says otherwise than Spark's default of 64 MiB:
+    long texts would fill a batch of 10,000 rows on both sides, off the heap, in every task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, keys: list[Column], fn: Callable[[list[bytes | None]], list], fields: str, text: str = "text") -> DataFrame:
     """One row per row of df: the keys, then what fn makes of the texts (one sequence of values for each field).
 
     Only the keys and the text leave the JVM, so extra columns of df can't clash with anything.
     """
-    spark = df.sparkSession
+    bounded_batches(df.sparkSession)
     narrow = df.select(*keys, F.col(text).alias("__text"))
     key_schema = narrow.drop("__text").schema
     out = narrow.drop("__text").limit(0).schema
@@ -84,7 +95,6 @@ def map_texts(df: DataFrame, keys: list[Column], fn: Callable[[list[bytes | None
     types = [f.type for f in to_arrow_schema(made)]
     names = [f.name for f in made.fields]
     n_keys = len(key_schema.fields)
-    del spark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,6 +109,7 @@ def map_texts(df: DataFrame, keys: list[Column], fn: Callable[[list[bytes | None
 
 def gather_texts(df: DataFrame, columns: list[Column], fn: Callable[[Iterator[tuple[pa.RecordBatch, int, list[bytes | None]]]], Iterator[pa.RecordBatch]], schema: str, text: str = "text") -> DataFrame:
     """Aggregates inside each task: fn reads the task's (batch, first row, texts) and yields batches of partial results."""
+    bounded_batches(df.sparkSession)
     narrow = df.select(*columns, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,6 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,10 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE = 200_000
+#: Parts that a worker remembers in each of two generations, as packed 32-bit ids.
+CACHE = 60_000
+#: Pairs of pieces that a worker remembers; a miss is worked out anew.
+PAIRS = 150_000
 #: Parts of up to so many characters are solved in arrays.
 ARRAY_LENGTH = 24
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -150,8 +152,8 @@ class Transducer:
         self.inner_space = any(x[1] == SPACE and x[0] != SPACE for x in self.joined)
         self.parts = re.compile(r"(?s).+" if self.inner_space else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if not any("\n" in x for x in self.joined) else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.least = min(self.score, default=0.0) - 10.0
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         begins = sorted(self.begins)
         self.arcs = HashTable(np.array([self.hashed(x) for x in begins], np.uint64), np.array([self.ids.get(x, -1) for x in begins], np.int32))
@@ -209,7 +211,7 @@ class Transducer:
         if known is None:
             own = [self.text[b]] if a < 0 else [self.text[a], self.text[b]]
             known = self.merged("".join(own)) == own
-            if len(self.pairs) > 400_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -286,8 +288,8 @@ class Transducer:
                 self.pair_values[at[order]] = values[order]
         return out
 
-    def merge_paths(self, parts: list[str]) -> list[list[int] | None]:
-        """merge_path() of many parts (up to ARRAY_LENGTH characters) at once; None where a character has no piece."""
+    def merge_paths(self, parts: list[str]) -> list[bytes | None]:
+        """merge_path() of many parts (up to ARRAY_LENGTH characters) at once, as packed ids; None where a character has no piece."""
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         order = np.argsort(-n, kind="stable")
         size = n[order]
@@ -328,12 +330,13 @@ class Transducer:
             steps.append(step)
             at[live] -= self.sizes[t]
             live = live[at[live] > 0]
-        out: list[list[int] | None] = [None] * len(parts)
         table = np.stack(steps[::-1], axis=1) if steps else np.zeros((len(parts), 0), np.int32)
-        counts = (table >= 0).sum(axis=1).tolist()
         width = table.shape[1]
-        for k, row, c, gone in zip(order.tolist(), table.tolist(), counts, lost.tolist(), strict=True):
-            out[k] = None if gone else row[width - c :]
+        starts = (np.arange(1, len(parts) + 1) * width - (table >= 0).sum(axis=1)) * 4
+        packed = np.ascontiguousarray(table).tobytes()
+        out: list[bytes | None] = [None] * len(parts)
+        for k, i, j, gone in zip(order.tolist(), starts.tolist(), (np.arange(1, len(parts) + 1) * 4 * width).tolist(), lost.tolist(), strict=True):
+            out[k] = None if gone else packed[i:j]
         return out
 
     def part(self, s: str) -> list[int]:
@@ -349,34 +352,37 @@ class Transducer:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers end to end."""
         split = [self.parts.findall(self.normalised(x)) for x in texts]
         if len(self.new) >= CACHE:
             self.old, self.new = self.new, {}
-        known = self.new
+        known: dict[str, bytes] = {}  # of this slice
         unknown = []
-        for s in set().union(*split).difference(known):
-            ids = self.old.get(s)
-            if ids is not None:
-                known[s] = ids
-            else:
+        for s in set().union(*split):
+            ids = self.new.get(s) or self.old.get(s)
+            if ids is None:
                 unknown.append(s)
+            else:
+                known[s] = ids
         plain = [s for s in unknown if len(s) <= ARRAY_LENGTH and SPACE * 2 not in s] if self.kind == BPE else []
-        for i in range(0, len(plain), 50_000):
-            some = plain[i : i + 50_000]
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
             known.update((s, ids) for s, ids in zip(some, self.merge_paths(some), strict=True) if ids is not None)
-        beyond = {s: self.part(s) for s in unknown if s not in known}
-        known.update((s, ids) for s, ids in beyond.items() if len(s) < 48)
-        out = []
-        for parts in split:
-            own: list[int] = []
-            for s in parts:
-                own += known[s] if s in known else beyond[s]
-            out.append(own)
-        return out
+        for s in unknown:
+            if s not in known:
+                known[s] = np.array(self.part(s), np.int32).tobytes()
+        for s in unknown[: CACHE - len(self.new)]:
+            if len(s) < 48:
+                self.new[s] = known[s]
+        get = known.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
 
     def decode(self, ids: list[int]) -> str:
         made = self.made
-        b = b"".join([made[i] for i in ids])
+        b = b"".join(map(made.__getitem__, ids))
         return (b[1:] if self.prefix and b[:1] == b" " else b).decode("utf-8", "replace")
 
 
@@ -394,12 +400,12 @@ def compiled(model: bytes) -> Transducer:
 
 def encode_column(t: Transducer, texts: list[bytes | None]) -> list:
     plain = [b.decode() if b else "" for b in texts]
-    ids = t.encode_many(plain)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    values = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(ids)), sizes)
-    own_bytes = np.bincount(owner[t.is_byte[values]], minlength=len(ids))
-    same = [t.decode(x) == y for x, y in zip(ids, plain, strict=True)]
+    packed = t.packed(plain)
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    values = np.frombuffer(b"".join(packed), np.int32)
+    owner = np.repeat(np.arange(len(packed)), sizes)
+    own_bytes = np.bincount(owner[t.is_byte[values]], minlength=len(packed))
+    same = [t.decode(np.frombuffer(x, np.int32).tolist()) == y for x, y in zip(packed, plain, strict=True)]
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(sizes), pa.array(own_bytes.astype(np.int64)), same]
 
