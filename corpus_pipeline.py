@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality classifier, exact dedup, SimHash near-dedup, mixing and tokens, each stage on what the one before kept.
+"""The corpus pipeline: quality classifier, exact dedup, near-dedup, mixing and tokens, each stage on what the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. A null or empty text has no content and is rejected by
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hullscope.llm import exact_dedup, mixing, pieces, simhash, weak_labels
+from hullscope.llm import exact_dedup, mixing, near_copies, pieces, weak_labels
 from hullscope.llm.common import written
 
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose fingerprints chains of two bits connect, the row with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of texts that chains of five-word Jaccard 0.8 or more connect, the row with the smallest doc_id stays."""
+    return near_copies.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
