@@ -25,7 +25,7 @@ PER_IMAGE = f"""(SELECT i.image, coalesce(n_vulns, 0) AS n_vulns, coalesce(n_com
 
 
 def per_image(spark, sf_dir):
-    return ops.per_image(views.images(spark, sf_dir).where("image < 2500"), views.findings(spark, sf_dir))
+    return ops.per_image(views.images(spark, sf_dir), views.findings(spark, sf_dir))
 
 
 def groups(spark, sf_dir):
