@@ -75,7 +75,7 @@ query(
     """WITH l AS (SELECT l_orderkey AS image, sha256(CAST(l_partkey AS VARCHAR)) AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem WHERE l_orderkey < 500),
  c AS (SELECT image, i, sha256(h) AS id FROM l WHERE i = 1 UNION ALL SELECT l.image, l.i, sha256(c.id || l.h) FROM c JOIN l ON l.image = c.image AND l.i = c.i + 1) SELECT image, CAST(i AS INTEGER) AS pos, id FROM c""".replace("WITH l", "WITH RECURSIVE l"),
 )(
-    lambda s, d: table(s, d, "lineitem").where("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
+    lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
     .select("image", F.posexplode(layer_chain(F.transform("l", lambda x: F.struct(x["l_partkey"].cast("string").alias("digest"), F.lit("").alias("instruction"))))).alias("pos", "id")).select("image", (F.col("pos") + 1).alias("pos"), "id")
 )
 query(

@@ -33,3 +33,18 @@ def test_every_image_counts(spark, duck10):
     assert sum(worst.values()) == images and worst["none"] == images - vulnerable
     shares = {r.what: (r.n, r.pct) for r in QUERIES["prevalence"](spark, str(AT)).collect()}
     assert shares["vulnerability"] == (vulnerable, pytest.approx(vulnerable * 100 / images, abs=1e-6))
+
+
+def test_every_image_has_its_layer_chain(spark, sf_dir, duck):
+    from hashlib import sha256
+
+    def sha(x):
+        return sha256(x.encode()).hexdigest()
+
+    want, image, before = [], None, ""
+    for key, part in duck.execute("SELECT l_orderkey, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey").fetchall():
+        pos, before = (pos + 1, sha(before + sha(str(part)))) if key == image else (1, sha(sha(str(part))))
+        image = key
+        want.append((key, pos, before))
+    assert max(want)[0] > 500
+    assert sorted(map(tuple, QUERIES["layer_chain"](spark, sf_dir).select("image", "pos", "id").collect())) == want
