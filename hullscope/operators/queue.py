@@ -60,9 +60,9 @@ def complete(jobs: DataFrame, ids: list[int], now: float) -> DataFrame:
     return changed(jobs, F.col("id").isin(ids), status=F.lit("done"), finished_at=F.lit(now), error=F.lit(None).cast("string"))
 
 
-def fail(jobs: DataFrame, ids: list[int], error: str, now: float, max_attempts: int = 3) -> DataFrame:
-    """Pending again while attempts are left, else failed."""
-    mine, over = F.col("id").isin(ids), F.col("attempts") >= max_attempts
+def fail(jobs: DataFrame, ids: list[int] | Column, error: str, now: float, max_attempts: int = 3) -> DataFrame:
+    """Pending again while attempts are left, else failed. ids: a list, or a condition where there are many."""
+    mine, over = ids if isinstance(ids, Column) else F.col("id").isin(ids), F.col("attempts") >= max_attempts
     return changed(jobs, mine, finished_at=F.when(over, F.lit(now)).otherwise(F.col("finished_at")), error=F.lit(error), worker_id=F.lit(None).cast("string"), status=F.when(over, "failed").otherwise("pending"))
 
 

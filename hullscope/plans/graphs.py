@@ -47,7 +47,7 @@ query(
     f"""WITH {UP}, st AS ({_STARTS}), re AS (SELECT DISTINCT source, node FROM st UNION SELECT source, up.node FROM st JOIN up ON up.anc = st.node),
  t AS (SELECT source, count(*) AS nodes, count(*) FILTER (re.node IN (SELECT node FROM pull)) AS downstream FROM re GROUP BY source), di AS (SELECT source, count(DISTINCT node) AS direct FROM st GROUP BY source)
  SELECT source, nodes, downstream, direct FROM t JOIN di USING (source)""",
-)(lambda s, d: graph.propagation(table(s, d, "part").where("p_partkey % 9 = 0 AND p_size <= 20").select(F.concat(F.lit("CVE-"), F.col("p_size").cast("string")).alias("source"), F.col("p_partkey").alias("node")), forest(s, d), views.refs(s, d).select("node").distinct()).drop("factor"))
+)(lambda s, d: graph.propagation(table(s, d, "part").select(F.concat(F.lit("CVE-"), F.col("p_size").cast("string")).alias("source"), F.col("p_partkey").alias("node")), forest(s, d), views.refs(s, d).select("node").distinct()).drop("factor"))
 _TAGS = "SELECT ns, repo, tag, CAST(updated AS VARCHAR) AS last_updated, CASE WHEN image % 3 = 0 THEN 'inactive' ELSE 'active' END AS status, image AS seq FROM {images}"
 _BEST = f"""(SELECT r.ns, r.repo, coalesce(b.tag, 'latest') AS tag FROM (SELECT DISTINCT ns, repo FROM ({_TAGS})) r LEFT JOIN
  (SELECT ns, repo, tag, row_number() OVER (PARTITION BY ns, repo ORDER BY tag = 'latest' DESC, status = 'active' DESC, last_updated DESC, seq) AS k FROM ({_TAGS}) WHERE NOT regexp_matches(tag, '^sha256-[0-9a-f]{{64}}\\.(sig|att)$')) b ON r.ns = b.ns AND r.repo = b.repo AND k = 1)"""

@@ -122,7 +122,7 @@ query("osv_backfill", "SELECT CASE WHEN scanner = 'osv' AND category = 'pkg-vuln
     lambda s, d: ops.counts(ops.corrected(views.findings(s, d), views.findings(s, d).select("id", F.lit("high").alias("severity"), "seq").where(F.substring("id", -2, 2).cast("int") % 3 == 0)), "severity")
 )
 query("merged_order", f"SELECT target_name, lid AS id, category, severity, cvss FROM {MERGED} ORDER BY {RANK} DESC, cvss DESC, target_name, lid, category, array_to_string(found_by, ','), n_raw DESC LIMIT 400")(
-    lambda s, d: merged(s, d).select("target_name", F.lower("id").alias("id"), "category", "severity", "cvss", "found_by", "n_raw").orderBy(ops.severity_rank(F.col("severity")).desc(), F.col("cvss").desc(), "target_name", "id", "category", F.array_join("found_by", ","), F.col("n_raw").desc()).limit(400).drop("found_by", "n_raw")
+    lambda s, d: merged(s, d).select("target_name", F.lower("id").alias("id"), "category", "severity", "cvss", "found_by", "n_raw").orderBy(ops.severity_rank(F.col("severity")).desc(), F.col("cvss").desc(), "target_name", "id", "category", F.array_join("found_by", ","), F.col("n_raw").desc()).drop("found_by", "n_raw")
 )
 query("recent_cve_share", "SELECT round(count(DISTINCT CASE WHEN CAST(regexp_extract(id, '^CVE-(\\d{4})-\\d+', 1) AS INTEGER) >= 2020 THEN id END) * 100.0E0 / count(DISTINCT id), 6) AS pct FROM {findings} WHERE id LIKE 'CVE-%'")(
     lambda s, d: ops.cves_by_year(views.findings(s, d)).agg(F.round(F.sum(F.when(F.col("year") >= 2020, F.col("cves"))) * 100.0 / F.sum("cves"), 6).alias("pct"))

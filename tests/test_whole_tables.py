@@ -48,3 +48,18 @@ def test_every_image_has_its_layer_chain(spark, sf_dir, duck):
         want.append((key, pos, before))
     assert max(want)[0] > 500
     assert sorted(map(tuple, QUERIES["layer_chain"](spark, sf_dir).select("image", "pos", "id").collect())) == want
+
+
+def test_queue_takes_all_jobs_and_targets(spark, sf_dir, duck):
+    jobs, parts = (duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("orders", "part"))
+    failed = {r.id: r.status for r in QUERIES["queue_fail_retry"](spark, sf_dir).collect()}
+    assert len(failed) == jobs > 500 and max(failed) > 500
+    assert all(v == ("failed" if k % 4 >= 3 else "pending") for k, v in failed.items() if k % 5 == 0)
+    seeded = [r.image for r in QUERIES["queue_seed"](spark, sf_dir).collect()]
+    assert len(seeded) == len(set(seeded)) == jobs + parts
+
+
+def test_merged_order_and_propagation_are_whole(spark, sf_dir, duck):
+    assert QUERIES["merged_order"](spark, str(AT)).count() > 400
+    starts = duck.execute("SELECT 'CVE-' || p_size, count(*) FROM part GROUP BY 1").fetchall()
+    assert {r.source: r.direct for r in QUERIES["cve_propagation"](spark, sf_dir).collect()} == dict(starts)
