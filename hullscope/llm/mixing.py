@@ -5,12 +5,18 @@ documents stand in one order (by size, then by a hash of the key): the expected
 random offset is added for the source, and a document is emitted once for each integer boundary that its stretch of the
 sum crosses. As neighbours have about the same size, the words taken stay within about one document of the target.
 
-The prefix sum is a count, as all documents of a source expect the same. It is built in levels: documents by (source,
-size), starts of these cells within the source, and inside a cell the rank by hash; a cell of over HEAVY documents (a
-group of copies) is first cut by hash prefix, so no task ranks an unbounded group.
+The prefix sum is a count, as all documents of a source expect the same. Rows are dealt by range of (source, size, hash,
+row) - the row's number makes every place unique, so a hot source, a group of copies or a repeated key is split like any
+other stretch -, numbered inside their part, and shifted by the counts of the source in the parts before: a table with a
+row for each source of each part, joined by shuffle unless it is small.
+
+Targets come from a table with a row a source. Its weights follow from the same kind of numbering; the level of water is
+found by sharing what capped sources leave until no more source is capped, each round one aggregate. No task sees all
+sources, and no source table is broadcast unless its counted size allows.
 
 Defined cases: null text has size 0; sources sort by code point with null last; a source of size 0 has target 0; rows
-that repeat a key are ranked side by side and each is drawn on its own; an empty table gives an empty result.
+that repeat a key are ranked side by side and each is drawn on its own; an empty table gives an empty result; extra
+columns are passed on by ``mixed`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -20,11 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, written
 
-HEAVY = 1_000
 BROADCAST_ROWS = 100_000
 SEED = "mix-1"
 
-#: Spark and DuckDB both run this: sources(source, size) to targets. A source is capped if its cap for a unit of weight
+#: DuckDB runs this, for what `targets` does in rounds: sources(source, size) to targets. A source is capped if its cap for a unit of weight
 #: is below the level of water. Caps are taken in order of that ratio; the level after k of them comes from integer sums,
 #: rises while capped sources leave words for the others, and is highest at the first source that stays below its cap.
 TARGETS_SQL = """
@@ -37,37 +42,64 @@ targets AS (SELECT source, CAST(size AS BIGINT) AS source_size, coalesce(least(2
 """
 
 
-def sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    rows = map_texts(docs, [F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source")], lambda texts: [[len((b or b"").split()) for b in texts]], "size bigint", text)
+def sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> DataFrame:
+    keys = [F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), *([F.col(row).alias("row")] if row else [])]
+    rows = map_texts(docs, keys, lambda texts: [[len((b or b"").split()) for b in texts]], "size bigint", text)
+    if not row:
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
     return rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
 
 
-def targets(rows: DataFrame) -> DataFrame:
-    """source, source_size, target; one row a source, so the windows see as many rows as there are sources."""
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"))
-    return rows.sparkSession.sql(f"WITH {TARGETS_SQL.format(sources='{sums}')} SELECT * FROM targets", sums=sums)
-
-
 def same_source(a: str, b: str):
     return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
 
+def checked(few: DataFrame) -> DataFrame:
+    """few, to be broadcast if its rows are few, and to be merged otherwise."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("merge")
+
+
+def numbered(rows: DataFrame, by: str | None, order: list) -> DataFrame:
+    """rows with pos: 0, 1, 2... in the given order, within each value of ``by`` (which the order starts with)."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    dealt = written(dealt, "numbered")
+    own = [by] if by else []
+    counts = dealt.groupBy(*own, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.partitionBy(*own, *([] if by else [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = written(counts.withColumn("__skip", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"), "starts")
+    if by:
+        starts = starts.withColumnRenamed(by, "__by")
+        on = F.col(by).eqNullSafe(F.col("__by")) & (F.col("p.__part") == F.col("s.__part"))
+    else:
+        on = F.col("p.__part") == F.col("s.__part")
+    found = dealt.alias("p").join(checked(starts).alias("s"), on)
+    return found.select(*(f"p.{c}" for c in rows.columns), (F.col("__id") - F.col("__first") + F.col("__skip")).alias("pos"))
+
+
+def targets(rows: DataFrame) -> DataFrame:
+    """source, source_size, target of rows with source and size."""
+    sums = written(rows.groupBy("source").agg(F.sum("size").alias("size")), "source-sizes")
+    order = [F.col("source").isNull(), F.col("source")]
+    weight = F.when(F.col("pos") % 3 == 0, 3).when(F.col("pos") % 3 == 1, 1).otherwise(2)
+    own = written(numbered(sums, None, order).select("source", "size", weight.alias("w")), "source-weights")
+    cap = F.lit(2.0) * F.col("size") / F.col("w")
+    total = own.agg(F.sum("size").alias("size"), F.sum("w").alias("w")).first()
+    level, capped = None, (-1, -1)
+    while total["w"]:  # each round caps a source more, and a share of all in practice
+        gone = own.where(cap < F.lit(level)).agg(F.coalesce(F.sum(2 * F.col("size")), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first() if level is not None else {"size": 0, "w": 0}
+        if (gone["size"], gone["w"]) == capped or gone["w"] == total["w"]:
+            break
+        capped = (gone["size"], gone["w"])
+        level = float(3 * total["size"] - 2 * capped[0]) / float(2 * (total["w"] - capped[1]))
+    most = F.lit(2.0) * F.col("size")
+    return own.select("source", F.col("size").cast("bigint").alias("source_size"), (most if level is None else F.least(most, F.lit(level) * F.col("w"))).alias("target"))
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """rows with pos: 0, 1, 2... within the source by (size, h, doc_id)."""
-    cells = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
-    before = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    cells = written(cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "starts")
-    if cells.count() <= BROADCAST_ROWS:
-        cells = F.broadcast(cells)
-    rows = rows.alias("r").join(cells.alias("c"), same_source("r", "c") & (F.col("r.size") == F.col("c.size"))).select("r.*", "c.start", "c.n")
-    rows = rows.withColumn("cut", F.when(F.col("n") > HEAVY, F.substring("h", 1, 3)).otherwise(F.lit("")))
-    cuts = rows.where(F.col("n") > HEAVY).groupBy("source", "size", "cut").agg(F.count(F.lit(1)).alias("m"))
-    inner = Window.partitionBy("source", "size").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = written(cuts.withColumn("skip", F.coalesce(F.sum("m").over(inner), F.lit(0))), "cuts")
-    rows = rows.withColumn("in_cut", F.row_number().over(Window.partitionBy("source", "size", "cut").orderBy("h", "doc_id")) - 1)
-    light = rows.where("cut = ''").select("doc_id", "source", "size", (F.col("start") + F.col("in_cut")).alias("pos"))
-    heavy = rows.where("cut <> ''").alias("r").join(cuts.alias("c"), same_source("r", "c") & (F.col("r.size") == F.col("c.size")) & (F.col("r.cut") == F.col("c.cut")))
-    return light.unionByName(heavy.select("r.doc_id", "r.source", "r.size", (F.col("r.start") + F.col("c.skip") + F.col("r.in_cut")).alias("pos")))
+    return numbered(rows, "source", [F.col("source"), F.col("size"), F.col("h"), F.col("doc_id"), F.col("row")])
 
 
 def offset() -> str:
@@ -75,24 +107,25 @@ def offset() -> str:
     return f"md5(concat('{SEED}:', coalesce(source, '')))"
 
 
-def drawn(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (0, 1 or 2)."""
-    rows = written(sizes(docs, key, source, text), "sizes")
-    goal = F.broadcast(written(targets(rows), "targets"))  # a row for each source
+def drawn(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (0, 1 or 2) and row: a number of the row, or the column named."""
+    rows = written(sizes(docs, key, source, text, row), "sizes")
+    goal = checked(written(targets(rows), "targets"))
     u = F.conv(F.substring(F.expr(offset()), 1, 7), 16, 10).cast("double") / F.lit(float(16**7))
     rows = ranked(rows).alias("r").join(goal.alias("t"), same_source("r", "t")).select("r.*", "t.source_size", "t.target").withColumn("u", u)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     upto = lambda pos: F.floor(F.col("u") + pos.cast("double") * rate)
     copies = F.least(F.lit(2), F.greatest(F.lit(0), upto(F.col("pos") + 1) - upto(F.col("pos"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), "row")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs with each row as often as it is drawn. Repeated rows of a key share the copies of one of them (their least)."""
-    out = drawn(docs, key, source, text).groupBy("doc_id").agg(F.min("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    out = written(out.where("__copies > 0"), "drawn")
+    """docs with each row as often as it is drawn. The rows are numbered in a table of their own, so that rows that repeat
+    a key, or all columns, get their own copies."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    out = drawn(rows, key, source, text, "__row").where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
     # what is drawn grows with the corpus: never broadcast, so the plan is one and the same at every size
-    rows = docs.join(out.hint("merge"), F.col(key).eqNullSafe(F.col("__id")))
+    rows = rows.join(written(out, "drawn").hint("merge"), "__row")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 

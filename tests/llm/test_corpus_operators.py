@@ -53,6 +53,41 @@ def test_bloom_merge_misses_no_repeat():
     assert flags[:500].all() and flags[2500:3000].all() and flags.mean() < 0.25
 
 
+def test_few_single_rows_are_flagged(spark):
+    """Each shard's filter has its own size: singles are flagged at one rate, whatever the number of rows."""
+    h = np.random.default_rng(6).integers(-(2**63), 2**63, 200_000)
+    df = spark.createDataFrame(pd.DataFrame({"h": np.concatenate([h, h[:500]])}), "h long").repartition(5)
+    found = {r.h for r in exact_dedup.repeated_hashes(df).collect()}
+    assert set(h[:500].tolist()) <= found and len(found) < 500 + 0.01 * len(h)
+
+
+def test_repeated_hashes_beyond_the_broadcast_bound(docs, monkeypatch):
+    want = sorted(map(tuple, exact_dedup.op2_rows(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 0)
+    assert sorted(map(tuple, exact_dedup.op2_rows(docs).collect())) == want
+    assert exact_dedup.dedup(docs).count() == sum(r[3] for r in want)
+
+
+def test_repeated_rows_and_null_ids(spark, duck):
+    rows = [(5, "same"), (5, "same"), (4, "same"), (None, "same"), (7, "same"), (None, "alone"), (None, "twice"), (None, "twice"), (1, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.op2_rows(df).collect()}
+    assert got == {(5, 7, 5, False), (4, 7, 5, False), (None, 7, 5, False), (7, 7, 5, True), (None, None, 1, True), (None, None, 2, True), (1, 2, 2, False), (2, 2, 2, True)}
+    import duckdb
+
+    con = duckdb.connect()
+    pdf = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    con.register("documents", pdf)
+    assert sorted(map(repr, con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({exact_dedup.OP2_SQL})").fetchall())) == sorted(repr(tuple(r)) for r in exact_dedup.op2_rows(df).collect())
+    assert sorted(map(repr, map(tuple, exact_dedup.dedup(df).collect()))) == sorted(map(repr, [(7, "same"), (None, "alone"), (None, "twice"), (2, "")]))
+
+
+def test_survivor_of_rows_that_differ_elsewhere(spark):
+    rows = [(1, "t", "b"), (1, "t", "a"), (1, "t", None)]
+    got = {exact_dedup.dedup(spark.createDataFrame(o, "doc_id long, text string, lang string")).first().lang for o in (rows, rows[::-1])}
+    assert len(got) == 1
+
+
 def test_dedup_keeps_the_largest_id(odd, docs, texts):
     kept = exact_dedup.dedup(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("text = 'same text here for you'").collect()) == [5]
@@ -316,13 +351,23 @@ def test_mix_is_near_target_and_repeatable(spark, sf_dir):
     assert (a.taken <= 2 * a["size"]).all() and ((by.taken - by.target).abs() <= 2 * by.most).all()
 
 
-def test_heavy_cells_rank_alike(docs, monkeypatch):
+def test_mix_without_broadcasts(docs, monkeypatch):
     want = {tuple(r) for r in mixing.op9_rows(docs).collect()}
-    monkeypatch.setattr(mixing, "HEAVY", 1)
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", -1)
     assert {tuple(r) for r in mixing.op9_rows(docs).collect()} == want
 
 
+def test_rows_that_repeat_a_key_get_their_own_copies(spark):
+    """A key in two sources, null keys, and rows that repeat all columns: every row is drawn, none is merged."""
+    rows = [(i % 5 if i % 7 else None, f"w{i % 4} " * (20 + i % 3), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = Counter()
+    for r in mixing.drawn(df).collect():
+        copies[(r.doc_id, r.size, r.source)] += r.copies
+    got = Counter((r.doc_id, len(r.text.split()), r.source) for r in mixing.mixed(df).collect())
+    assert got == +copies and sum(got.values()) > 60
+
+
 def test_mixed_rows(docs):
     drawn = {r.doc_id: r.copies for r in mixing.drawn(docs).collect()}
     out = mixing.mixed(docs)
