@@ -451,35 +451,153 @@ def test_base_scores_equal_brute_force(docs, texts, monkeypatch, frequent):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)  # classes help on texts not learned from
 
 
-def test_class_model_sums_to_one(docs, texts):
-    """Over all known words and one unknown one of each rest class, P(word | history) is a distribution."""
-    learn = {k: t for k, t in texts.items()}
-    c = Counter(w for t in learn.values() for w in t.encode().translate(LOW).split())
-    words = sorted(c, key=lambda w: (-c[w], w))
-    frequent = brown_lm.Frequent({w: i for i, w in enumerate(words)}, np.array([c[w] for w in words]))
-    k = min(50, len(words))
-    n = k + 1 + brown_lm.REST
-    pairs = np.zeros(n * n, np.int64)
-    kinds, _ = brown_lm.units(frequent.index, [t.encode() for t in learn.values()], k)
-    pairs += np.bincount(np.concatenate([[0], kinds[:-1]]) * n + kinds, minlength=n * n)
-    rest = {r: (sum(x for w, x in c.items() if brown_lm.rest_class(w) == r), sum(brown_lm.rest_class(w) == r for w in c)) for r in range(brown_lm.REST)}
-    m = brown_lm.fitted(frequent, pairs.reshape(n, n), k, rest, len(learn), sum(c.values()) + len(learn), len(c) + 1)
-    unit = np.array([i + 1 if i < k else k + 1 + brown_lm.rest_class(w) for i, w in enumerate(words)])
-    for history in (0, 1, k + 1):
-        p = 10 ** (m.transition[m.classes[history], m.classes[unit]] + m.emission)
-        unknown = 10 ** (m.transition[m.classes[history], m.classes[k + 1 :]] - m.rest_norm)
-        end = 10 ** m.transition[m.classes[history], m.classes[0]]
-        assert math.isclose(p.sum() + unknown.sum() + end, 1, rel_tol=1e-6)
+def slow_neighbours(texts, of):
+    """word -> Counter of (side, class of the neighbour); 'end' stands around a text."""
+    out = {}
+    for t in texts:
+        ws = [None, *t.encode().translate(LOW).split(), None]
+        for i in range(1, len(ws) - 1):
+            own = out.setdefault(ws[i], Counter())
+            for side, j in ((0, i - 1), (1, i + 1)):
+                k = brown_lm.END if ws[j] is None else of.get(ws[j])
+                if k is not None:
+                    own[side, k] += 1
+    return out
+
+
+def likelihood(table):
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    return sum(map(f, table.ravel())) - sum(map(f, table.sum(axis=0))) - sum(map(f, table.sum(axis=1)))
+
+
+def test_gains_are_differences_of_the_likelihood():
+    """Joining a word to a class changes the class bigrams' likelihood by its gain, up to what holds for all classes."""
+    rng = np.random.default_rng(4)
+    size = 5
+    table = rng.integers(0, 30, (size, size)).astype(float)
+    beside, same = rng.integers(0, 4, (6, 2 * size)).astype(float), rng.integers(0, 3, 6).astype(float)
+    got = brown_lm.gains(table, size - 1, beside, same)
+    for w in range(6):
+        own = []
+        for c in range(size - 1):
+            new = table.copy()
+            new[:, c] += beside[w, :size]
+            new[c] += beside[w, size:]
+            new[c, c] += same[w]
+            own.append(likelihood(new) - likelihood(table))
+        # the other classes' sums grow alike whichever class the word joins, but for the class itself
+        own = np.array(own)
+        before, after = beside[w, :size], beside[w, size:]
+        row, column = table.sum(axis=1), table.sum(axis=0)
+        g = lambda x, y: brown_lm.xlogx(x + y) - brown_lm.xlogx(x)
+        for c in range(size - 1):
+            others = sum(g(row[k : k + 1], before[k : k + 1])[0] for k in range(size) if k != c) + sum(g(column[k : k + 1], after[k : k + 1])[0] for k in range(size) if k != c)
+            joint = g(row[c : c + 1], after.sum(keepdims=True) + before[c] + same[w])[0] + g(column[c : c + 1], before.sum(keepdims=True) + after[c] + same[w])[0]
+            alone = g(row[c : c + 1], after.sum(keepdims=True) + same[w])[0] + g(column[c : c + 1], before.sum(keepdims=True) + same[w])[0]
+            assert math.isclose(got[w, c], own[c] + others + joint - alone, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_every_known_word_is_clustered(docs, texts, spark, monkeypatch):
+    """Classes of all training words, and the scores, against a slow version with the same blocks."""
+    monkeypatch.setattr(brown_lm, "FREQUENT", 300)
+    monkeypatch.setattr(brown_lm, "FIRST", 40)
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
+    learn = docs.where(brown_lm.remainder("doc_id", 7) != 2)
+    own = [texts[k] for k in texts if not held[k]]
+    counts = Counter(w for t in own for w in t.encode().translate(LOW).split())
+    words = brown_lm.word_counts(learn, "text").cache()
+    assert {bytes(r.word): r.c for r in words.collect()} == counts
+    frequent, threshold = brown_lm.Frequent.of(words, 300)
+    index = spark.sparkContext.broadcast(frequent.index)
+    known, rare = brown_lm.classed(learn, frequent, index, "text")
+    of = {w: int(known[i]) for w, i in frequent.index.items()}
+    rest = {bytes(r.word): r["class"] for r in rare.collect()}
+    assert set(of) | set(rest) == set(counts) and not set(of) & set(rest) and set(of.values()) | set(rest.values()) <= set(range(brown_lm.CLASSES))
+    # block by block, from plain counts
+    sides = lambda found, ws: np.array([[found[w][s, k] for s in (0, 1) for k in range(33)] for w in ws])
+
+    def bigrams_of(classes):
+        table = np.zeros((33, 33))
+        for t in own:
+            ks = [32, *(classes.get(w) for w in t.encode().translate(LOW).split()), 32]
+            for i, j in zip(ks, ks[1:]):
+                if i is not None and j is not None:
+                    table[i, j] += 1
+        return table
+
+    now = dict(zip(list(frequent.index)[:40], brown_lm.exchange(brown_lm.first_bigrams(learn, index, 40, "text")).tolist()))
+    second = list(frequent.index)[40:]
+    now |= dict(zip(second, brown_lm.best(bigrams_of(now), sides(slow_neighbours(own, now), second)).tolist()))
+    beside, table = sides(slow_neighbours(own, now), second), bigrams_of(now)
+    for i, w in enumerate(second):  # they leave the table
+        table[now[w]] -= beside[i, 33:]
+        table[:, now[w]] -= beside[i, :33]
+    table = np.maximum(table, 0)
+    now |= dict(zip(second, brown_lm.best(table, beside).tolist()))
+    for i, w in enumerate(second):
+        table[now[w]] += beside[i, 33:]
+        table[:, now[w]] += beside[i, :33]
+    assert now == of
+    some = sorted(rest)
+    assert [rest[w] for w in some] == brown_lm.best(table, sides(slow_neighbours(own, now), some)).tolist()
+    # scores
+    of |= rest
+    n, v = sum(counts.values()) + len(own), len(counts) + 1
+    mass, kinds = np.zeros(32), np.zeros(32)
+    for w, c in counts.items():
+        mass[of[w]] += c
+        kinds[of[w]] += 1
+    bigrams = np.zeros((34, 34))
+    for t in own:
+        ks = [32, *(of[w] for w in t.encode().translate(LOW).split()), 32]
+        for i, j in zip(ks, ks[1:]):
+            bigrams[i, j] += 1
+    shares = np.where(np.append(kinds > 0, True), bigrams[:33, :33].sum(axis=0) + 1, 0)
+    shares /= shares.sum()
+    p = lambda i, j: (shares[j] if i == 33 else (bigrams[i, j] + 20 * shares[j]) / (bigrams[i, :33].sum() + 20))
+    for r in brown_lm.op10_rows(docs).collect():
+        prior, score = 32, 0.0
+        for w in texts[r.doc_id].encode().translate(LOW).split():
+            if w in of:
+                k = of[w]
+                score += math.log10(p(prior, k) * (counts[w] + 1) / (mass[k] + kinds[k] + 1))
+            else:
+                k = 33
+                score += math.log10(sum(p(prior, c) / (mass[c] + kinds[c] + 1) for c in range(32)))
+            prior = k
+        score += math.log10(p(prior, 32))
+        assert math.isclose(r.score, score, rel_tol=1e-9), r.doc_id
+        assert r.train_tokens == n
+
+
+def test_class_model_sums_to_one():
+    """Over all known words, one unknown word and the end, P(token | history) is a distribution."""
+    rng = np.random.default_rng(3)
+    of, counts = rng.integers(0, 20, 500), rng.integers(1, 50, 500)  # some classes stay empty
+    mass, kinds = np.bincount(of, weights=counts, minlength=32), np.bincount(of, minlength=32)
+    table = np.zeros((34, 34))
+    table[:20, :20] = rng.integers(0, 40, (20, 20))
+    table[32, :20] = table[:20, 32] = 7
+    m = brown_lm.fitted(table, mass, kinds)
+    for history in (0, 19, 31, 32, 33):
+        p = 10 ** (m.transition[history, of] + np.log10(counts + 1) - m.norm[of])
+        assert math.isclose(p.sum() + 10 ** m.transition[history, 33] + 10 ** m.transition[history, 32], 1, rel_tol=1e-9)
 
 
 def test_exchange_finds_planted_classes():
     """Words of two planted classes that always alternate."""
     rng = np.random.default_rng(0)
     k = 12
-    pairs = np.zeros((k + 1 + brown_lm.REST,) * 2, np.int64)
+    pairs = np.zeros((k + 1,) * 2, np.int64)
     for a in range(1, k + 1):
         for b in range(1, k + 1):
             if (a % 2) != (b % 2):
                 pairs[a, b] = rng.integers(50, 100)
-    own = brown_lm.exchange(pairs, k, 2)
-    assert len(set(own[1 : k + 1 : 2])) == len(set(own[2 : k + 1 : 2])) == 1 and own[1] != own[2]
+    own = brown_lm.exchange(pairs, 2)
+    assert len(set(own[::2])) == len(set(own[1::2])) == 1 and own[0] != own[1]
+
+
+def test_scores_without_training_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in brown_lm.scored(docs, F.lit(False), [F.col("doc_id")]).collect()}
+    assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in rows.values()) and rows[1].n_tokens == 3 and rows[2].n_tokens == 1
