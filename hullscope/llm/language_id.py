@@ -5,15 +5,20 @@ doesn't depend on its neighbours and each distinct word of a slice is scored onc
 for each order the hashes of all n-grams of any language with the languages' log-probabilities side by side, and the
 hashes of all contexts with their back-off weights. The language with the lowest cross-entropy per character wins.
 
-Calibration: a fifth of the sampled documents isn't counted but scored. They set the temperature that turns
+Calibration: of a language with CALIBRATE sampled documents or more a fifth isn't counted but scored; smaller languages
+keep all of theirs for learning, so every language with a labelled document that has a letter can be predicted. They set the temperature that turns
 cross-entropies into a probability, and for each language the cross-entropy above which a text is ``rejected`` (it
 looks like no learned language); rejection is a column of its own and does not change ``lang_pred``.
 
 The model is fitted on a bounded sample: about ``per_language`` whole documents for each language, chosen by a hash of
 the key, so that rows, not partitions or order, decide. Prediction reads every row and whole texts.
 
+Memory: words of a language beyond MOST_WORDS distinct ones (the least frequent, ties by word) are not learned, a
+documented bound like ``per_language``; the tables hold log-probabilities only of the n-grams that a language has.
+
 Defined cases: null text or a text without a letter is ``und`` with score 0; null languages aren't learned from; with
-no labelled document at all every text is ``und``.
+no labelled document at all every text is ``und``. Repeated rows are predicted each, and count each in learning. An empty
+table gives an empty result; extra columns are ignored. Of equal scores the language first in order wins.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import gather_texts, map_texts, remainder
@@ -33,6 +38,8 @@ from .common import gather_texts, map_texts, remainder
 ORDER = 4
 BOS, EOS = 2, 3
 PER_LANGUAGE = 400
+CALIBRATE = 50
+MOST_WORDS = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x100000001B3)
 
@@ -210,10 +217,11 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], [], [], [], [], np.zeros(0))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "key"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    draw = F.pmod(F.xxhash64(F.lit("language"), "key", "text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sizes.items()))
-    part = F.when(F.pmod(F.xxhash64(F.lit("calibrate"), "key"), F.lit(5)) == 0, F.lit(1)).otherwise(F.lit(0))
-    sample = rows.where(draw < share).withColumn("part", part)
+    enough = [k for k, n in sizes.items() if min(n, per_language) >= CALIBRATE]
+    aside = F.col("lang").isin(enough) & (F.pmod(F.xxhash64(F.lit("calibrate"), "key", "text"), F.lit(5)) == 0)
+    sample = rows.where(draw < share).withColumn("part", F.when(aside, F.lit(1)).otherwise(F.lit(0)))
 
     def count(items: Iterator) -> Iterator[pa.RecordBatch]:
         own: dict[str, Counter] = defaultdict(Counter)
@@ -224,8 +232,16 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in gather_texts(sample.where("part = 0"), [F.col("lang")], count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["lang"]][r["word"]] = r["n"]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # the words of per_language documents
+
+    def learn(some: DataFrame) -> None:
+        found = gather_texts(some, [F.col("lang")], count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        for r in found.withColumn("place", place).where(F.col("place") <= MOST_WORDS).toLocalIterator():
+            counts[r["lang"]][r["word"]] = r["n"]
+
+    learn(sample.where("part = 0").drop("part"))
+    for missing in sorted(set(sizes) - set(counts)):  # the draw left none of it, as where all of its rows are equal
+        learn(rows.where((F.col("lang") == missing) & F.col("text").rlike(r"\p{L}")).limit(per_language))
     model = kneser_ney(counts)
     if not model.languages:
         return model

@@ -109,6 +109,56 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(p, 1, atol=1e-5), context
 
 
+def slow_kneser_ney(words, chars, w, i, order=4):
+    """P(w[i] | w[i-order+1..i-1]) by the textbook recursion over plain counts; w is framed, words: framed word -> count."""
+    grams = {order: Counter()}
+    for s, n in words.items():
+        for j in range(order - 1, len(s)):
+            grams[order][s[j - order + 1 : j + 1]] += n
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+
+    def p(k, context, c):
+        if k == 0:
+            return 1 / chars
+        own = {g[-1]: n for g, n in grams[k].items() if g[:-1] == context}
+        lower = p(k - 1, context[1:], c)
+        if not own:
+            return lower
+        ones, twos = (sum(n == x for n in grams[k].values()) for x in (1, 2))
+        d = min(0.9, max(0.1, ones / (ones + 2 * twos) if ones + twos else 0.5))
+        return max(own.get(c, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * lower
+
+    return p(order, w[i - order + 1 : i], w[i])
+
+
+def test_kneser_ney_equals_the_recursion():
+    counts = {"x": {"abba": 3, "abc": 1, "bab": 2, "caab": 1}, "y": {"cab": 2, "a": 5, "cc": 1}}
+    m = language_id.kneser_ney(counts)
+    chars = len({c for own in counts.values() for w in own for c in w}) + 2  # the end, and an unseen one
+    for word in ("abba", "cab", "bcaz", "a", "zz"):
+        framed = chr(2) * 3 + word + chr(3)
+        for j, lang in enumerate(m.languages):
+            own = {chr(2) * 3 + w + chr(3): n for w, n in counts[lang].items()}
+            want = sum(math.log(slow_kneser_ney(own, chars, framed, i)) for i in range(3, len(framed)))
+            assert math.isclose(m.words([word])[0, j], want, rel_tol=1e-4), (word, lang)
+
+
+def test_every_labelled_language_is_learned(spark):
+    """Languages of 1 to 5 documents, of equal rows and of null keys."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(20):
+        for i in range(1 + k % 5):
+            rows.append((1000 * k + i, " ".join(letters[k] * 3 + letters[(k + j) % 26] for j in range(3, 9 + i)), f"l{k:02}"))
+    rows += [(None, "жук жил", "nul")] * 300 + [(7, "12 34", "digits")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True), per_language=100)
+    assert set(model.languages) == {r[2] for r in rows} - {"digits"}
+    got = language_id.identify(df, model, [F.col("lang")]).collect()
+    assert all(r.lang_pred == (r.lang if r.lang != "digits" else "und") for r in got)
+
+
 def test_language_accuracy_and_letters(docs, odd):
     got = language_id.op3_rows(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got.held_out]
