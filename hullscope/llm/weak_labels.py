@@ -8,11 +8,11 @@ Dirichlet prior of the same shape keep the classes from swapping. The posterior
 a document's votes is the soft label that trains a logistic scorer over hashed features (words, word shapes and coarse
 signals, 2^HASH_BITS buckets), so that what no labeller names can count too. The scorer's probability decides.
 
-The scorer is fitted on a bounded sample, about TRAIN_ROWS documents chosen by a hash of the key; the pattern counts
-and the scores cover every document and whole texts.
+The scorer is fitted on a bounded sample, about TRAIN_ROWS documents chosen by a hash of the key, each with a value for
+2^HASH_BITS buckets at most however long its text; the pattern counts and the scores cover every document and whole texts.
 
 Defined cases: null and empty texts score 0 and are rejected. Repeated rows get equal scores. An empty table gives an
-empty result.
+empty result. Extra columns are ignored, and passed on by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -102,9 +102,9 @@ def votes(texts: list[bytes | None]) -> list[list[str]]:
     return [out]
 
 
-#: P(bad vote | class) to start from, and the share of all documents that this belief weighs.
+#: P(bad vote | class) to start from, and how many documents this belief weighs: it washes out as the corpus grows.
 START = {GOOD: 0.003, BAD: 0.2}
-BELIEF = 0.02
+BELIEF = 20.0
 
 
 def em(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.ndarray]:
@@ -117,14 +117,13 @@ def em(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.ndarray]:
         return prior, table
     seen = np.array([[int(v) for v in p] for p in sorted(patterns)])
     weight = np.array([patterns[p] for p in sorted(patterns)], float)
-    belief = 1 + BELIEF * weight.sum()
     for _ in range(rounds):
         good = posterior(seen, prior, table)
-        old, prior = prior, float(np.clip((weight @ good + 0.85 * belief) / (weight.sum() + belief), 0.02, 0.98))
+        old, prior = prior, float(np.clip((weight @ good + 0.85 * BELIEF) / (weight.sum() + BELIEF), 0.02, 0.98))
         for k in (BAD, GOOD):
             own = (weight * (good if k == GOOD else 1 - good))[:, None]
             bad, fine = ((own * (seen == v)).sum(axis=0) for v in (BAD, GOOD))
-            table[:, k, BAD] = (bad + belief * START[k]) / (bad + fine + belief)
+            table[:, k, BAD] = (bad + BELIEF * START[k]) / (bad + fine + BELIEF)
             table[:, k, GOOD] = 1 - table[:, k, BAD]
         if abs(prior - old) < 1e-9:
             break

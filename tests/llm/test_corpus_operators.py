@@ -325,6 +325,54 @@ def test_em_finds_planted_accuracies():
     assert abs(prior - 0.8) < 0.05 and np.abs(table[:, 0, 0] - 0.4).max() < 0.1 and table[:, 1, 0].max() < 0.05
 
 
+def test_scores_equal_brute_force(docs, texts):
+    """Plain loops: votes, expectation-maximisation, features as dictionaries, and gradient steps over all documents."""
+    wl = weak_labels
+    ids = sorted(texts)
+    bodies = [texts[i].encode() for i in ids]
+    votes = [[f.vote(wl.signals(b, b.split()), len(b.split())) if b.split() else 2 for f in wl.LABELLERS] for b in bodies]
+    prior, rate = 0.85, [{0: wl.START[0], 1: wl.START[1]} for _ in wl.LABELLERS]
+
+    def good(v):
+        odds = math.log(prior / (1 - prior))
+        for r, x in zip(rate, v):
+            odds += math.log(r[1] / r[0]) if x == 0 else math.log((1 - r[1]) / (1 - r[0])) if x == 1 else 0.0
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+
+    for _ in range(100):
+        g, old = [good(v) for v in votes], prior
+        prior = min(0.98, max(0.02, (sum(g) + 0.85 * wl.BELIEF) / (len(g) + wl.BELIEF)))
+        for j in range(len(rate)):
+            rate[j] = {k: (sum(w for w, v in zip(own, votes) if v[j] == 0) + wl.BELIEF * wl.START[k]) / (sum(w for w, v in zip(own, votes) if v[j] != 2) + wl.BELIEF) for k, own in ((1, g), (0, [1 - w for w in g]))}
+        if abs(prior - old) < 1e-9:
+            break
+    target = [good(v) for v in votes]
+    rows = []
+    for b in bodies:
+        own, words = {}, b.split()
+        for w in words:
+            shape = wl._RUNS.sub(rb"\1", w.translate(wl._SHAPE))
+            for k in (wl.bucket(b"word:", w), wl.bucket(b"shape:", shape)):
+                own[k] = own.get(k, 0.0) + 1 / max(wl.LEAST_WORDS, len(words))
+        for k, s in enumerate(wl.signals(b, words)):
+            at = wl.bucket(b"signal%d:" % k, b"%d" % min(9, int(s * 10)))
+            own[at] = own.get(at, 0.0) + 0.3
+        rows.append((np.array(list(own)), np.array(list(own.values()))))
+    w, b, g2, b2 = np.zeros(1 << wl.HASH_BITS), 0.0, np.full(1 << wl.HASH_BITS, 1e-8), 1e-8
+    for _ in range(80):
+        grad, gb = 1e-5 * w, 0.0
+        for (at, value), y in zip(rows, target):
+            error = (1 / (1 + math.exp(-max(-30.0, min(30.0, w[at] @ value + b)))) - y) / len(rows)
+            grad[at] += error * value
+            gb += error
+        g2 += grad**2
+        b2 += gb**2
+        w, b = w - 0.5 * grad / np.sqrt(g2), b - 0.5 * gb / math.sqrt(b2)
+    want = {i: 1 / (1 + math.exp(-(w[at] @ value + b))) if body.split() else 0.0 for i, body, (at, value) in zip(ids, bodies, rows)}
+    for r in weak_labels.op7_rows(docs).collect():
+        assert math.isclose(r.score, want[r.doc_id], abs_tol=1e-4) and r.kept == (want[r.doc_id] >= 0.5), r.doc_id
+
+
 def test_empty_texts_score_nothing(odd):
     got = {r.doc_id: r.score for r in weak_labels.op7_rows(odd).collect()}
     assert got[1] == got[2] == got[3] == 0.0
