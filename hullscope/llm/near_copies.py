@@ -12,10 +12,10 @@ candidates, estimated from PLAN_SAMPLE texts' pairs - while a pair of similarity
 more (more similar ones still more surely). The width is the cheapest, so it grows with the number of texts.
 
 Verification. Texts that meet are candidates if their sizes allow 0.8 and their first DIMS bits differ in at most SKETCH
-places, four standard deviations above what is expected at 0.8. The similarity of candidates is then computed from the two
+places, three standard deviations above what is expected at 0.8. The similarity of candidates is then computed from the two
 shingle sets, so no pair below 0.8 links.
 
-First each text is compared with its nearest and its least candidate, which joins most of a group with two pairs a member.
+First each text is compared with its NEAREST closest candidates and its least, which joins a group with few pairs a member.
 Then all candidate pairs whose texts aren't connected yet are compared. Where more than BLOCK texts meet, the first search
 cuts them by hash; the second compares those outside the largest component with each other and with it, block by block, so
 no task holds more than two blocks and no pair is left out.
@@ -47,6 +47,7 @@ RECALL = 0.995
 DIMS = 128
 PLAN_SAMPLE = 1500
 BLOCK = 4096
+NEAREST = 4
 #: A row is shuffled, a candidate pair is a few operations on arrays.
 ROW_COST, PAIR_COST = 1.0, 0.004
 _UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -92,7 +93,7 @@ def agreement(share: float = SHARE[0] / SHARE[1]) -> float:
 
 def sketch_bound() -> int:
     differ = 1 - agreement()
-    return math.floor(DIMS * differ + 4 * math.sqrt(DIMS * differ * (1 - differ)))
+    return math.floor(DIMS * differ + 3 * math.sqrt(DIMS * differ * (1 - differ)))
 
 
 SKETCH = sketch_bound()
@@ -266,15 +267,17 @@ def close(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, rows: np.ndarray) -> It
 
 
 def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, d): each member's nearest candidate of the bucket, and its least."""
+    """(a, b, d): each member's NEAREST closest candidates of the bucket, and its least."""
     for _, _, nodes, n, s1, s2 in groups(batches, 2):
         a, b, d = [], [], []
         order = np.argsort(nodes, kind="stable")
         nodes, n, s1, s2 = nodes[order], n[order], s1[order].view(np.uint64), s2[order].view(np.uint64)
+        some = min(NEAREST, len(nodes) - 1)
         for own, distance in close(n, s1, s2, np.arange(len(nodes))):
-            for at in (distance.argmin(axis=1), (distance <= SKETCH).argmax(axis=1)):
+            near = np.argpartition(distance, some, axis=1)[:, :some] if some < len(nodes) - 1 else np.argsort(distance, axis=1)[:, :some]
+            for at in (*near.T, (distance <= SKETCH).argmax(axis=1)):
                 far = distance[np.arange(len(own)), at]
-                ok = (far <= SKETCH) & (nodes[own] != nodes[at])
+                ok = far <= SKETCH
                 a.append(nodes[own][ok])
                 b.append(nodes[at][ok])
                 d.append(far[ok].astype(np.int32))
@@ -301,7 +304,7 @@ def grouped_by(rows: DataFrame, keys: list[str], run: Callable, schema: str) ->
 
 
 def first_pairs(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """(a, b): each text's nearest candidate and its least, over all buckets; and (key, m): crowded buckets, cut by hash here."""
+    """(a, b): each text's closest candidates and its least, over all buckets; and (key, m): crowded buckets, cut by hash here."""
     met = members(rows, plan)
     crowded = written(members(rows, plan).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "crowded")
     cut = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)), F.lit(0)).cast("bigint")
@@ -310,8 +313,9 @@ def first_pairs(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     else:
         met = met.withColumn("cut", F.lit(0).cast("bigint"))
     found = grouped_by(met.select("key", "cut", "node", "n", "s1", "s2"), ["key", "cut"], nearest, "a bigint, b bigint, d int")
-    found = found.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("x"), F.min("b").alias("y"))
-    pairs = found.select("a", F.explode(F.array("x", "y")).alias("b"))
+    # a few of each bucket
+    found = found.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("d", "b"))).alias("x"), F.min("b").alias("y"))
+    pairs = found.select("a", F.explode(F.concat(F.slice(F.col("x.b"), 1, NEAREST), F.array("y"))).alias("b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded
 
 
