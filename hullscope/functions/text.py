@@ -126,8 +126,9 @@ def without_tags(html: Column) -> Column:
 
 
 def exposed_ports(instruction: Column) -> Column:
-    """Ports of 'EXPOSE map[80/tcp:{}]', 'EXPOSE [80/tcp]' or 'EXPOSE 80 443'."""
-    return F.regexp_extract_all(F.coalesce(instruction, F.lit("")), F.lit(r"(\d+(?:/[a-z]+)?)"), F.lit(1))
+    """Ports of 'EXPOSE map[80/tcp:{}]', 'EXPOSE [80/tcp]' or 'EXPOSE 80 443'; none of any other instruction."""
+    listed = F.regexp_extract(F.coalesce(instruction, F.lit("")), r"(?i)(?:^|\s)EXPOSE\s+(?:map)?\[?([^\]]*)", 1)
+    return F.regexp_extract_all(listed, F.lit(r"(?:^|\s)(\d+(?:/[a-z]+)?)"), F.lit(1))
 
 
 def short_number(x: Column) -> Column:

@@ -13,6 +13,8 @@ def kept(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="hullscope-")
         spark.sparkContext.setCheckpointDir(at)
     path = f"{at.rstrip('/')}/hullscope/{name}-{uuid.uuid4().hex}"

@@ -81,11 +81,15 @@ def cves_by_year(findings: DataFrame) -> DataFrame:
 
 
 def packages(findings: DataFrame) -> DataFrame:
-    """By normalised name: images, findings, distinct CVEs, images with a critical, most frequent ecosystem (least name of equals)."""
+    """By normalised name: images, findings, distinct CVEs, images with a critical, most frequent ecosystem (least name of equals).
+
+    Each distinct count comes from its own small aggregate by (name, value), so no row is expanded for several of them.
+    """
     rows = findings.where("category = 'pkg-vuln'").select("image", "severity", package_name(F.col("package")).alias("name"), ecosystem(F.col("ecosystem")).alias("eco"), F.upper("id").alias("cve"), cve_year(F.col("id")).alias("year")).where("name <> ''")
     eco = rows.groupBy("name", "eco").agg(F.count(F.lit(1)).alias("n")).groupBy("name").agg(F.min_by("eco", F.struct(-F.col("n"), F.col("eco"))).alias("ecosystem"))
-    own = rows.groupBy("name").agg(F.count_distinct("image").alias("images"), F.count(F.lit(1)).alias("findings"), F.count_distinct(F.when(F.col("year").isNotNull(), F.col("cve"))).alias("cves"), F.count_distinct(F.when(F.col("severity") == "critical", F.col("image"))).alias("critical_images"))
-    return own.join(eco, "name")
+    images = rows.groupBy("name", "image").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("severity") == "critical").alias("critical")).groupBy("name").agg(F.count(F.lit(1)).alias("images"), F.sum("n").alias("findings"), F.count_if("critical").alias("critical_images"))
+    cves = rows.where("year IS NOT NULL").groupBy("name", "cve").agg(F.lit(1)).groupBy("name").agg(F.count(F.lit(1)).alias("cves"))
+    return images.join(cves, "name", "left").join(eco, "name").select("name", "images", "findings", F.coalesce("cves", F.lit(0)).alias("cves"), "critical_images", "ecosystem")
 
 
 def components(findings: DataFrame) -> DataFrame:
@@ -124,6 +128,21 @@ def per_cve(findings: DataFrame, images: DataFrame) -> DataFrame:
     return sums.join(worst, "id").select("id", "images", "exposure", "digests", "dependency_weight", "downstream", severity_name(F.col("rank")).alias("worst"), "package")
 
 
+def top_digests(findings: DataFrame, images: DataFrame, most: int) -> DataFrame:
+    """The identifiers with most distinct digests, with a hash of their sorted digests: only the chosen ones' are gathered."""
+    pairs = findings.where("startswith(id, 'CVE-')").select("id", "image").distinct().join(images.where("digest <> ''").select("image", "digest"), "image").select("id", "digest").distinct()
+    top = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_digests")).orderBy(F.col("n_digests").desc(), "id").limit(most)
+    return pairs.join(F.broadcast(top), "id").groupBy("id", "n_digests").agg(F.md5(F.array_join(F.array_sort(F.collect_list("digest")), ",")).alias("digests_md5"))  # most rows
+
+
+def severe_bins(images: DataFrame, findings: DataFrame) -> DataFrame:
+    """Images by their number of critical and high findings, in six bins; an image without any is in '0'."""
+    own = findings.where("severity IN ('critical', 'high')").groupBy("image").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    rows = images.select("image").distinct().join(own, "image", "left")
+    return counts(rows, F.when(n >= 30, "30+").when(n >= 20, "20-29").when(n >= 10, "10-19").when(n >= 5, "5-9").when(n >= 1, "1-4").otherwise("0").alias("bin"), name="images")
+
+
 def merge_key() -> list[Column]:
     """Target, category, id else title, package, endpoint else location, in lower case; the version isn't part of it."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
@@ -138,14 +157,16 @@ def merged(findings: DataFrame) -> DataFrame:
     """
     rank = severity_rank(F.col("severity"))
     best = F.struct(-rank, -F.coalesce("cvss", F.lit(0.0)), F.col("seq"))
+    chosen = ("target_name", "category", "id", "title", "package", "version", "location")
     first = lambda c: F.min_by(F.nullif(c, F.lit("")), F.when(F.coalesce(c, F.lit("")) != "", F.col("seq"))).alias(c)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>"))))))
     rows = findings.groupBy(*merge_key()).agg(
-        *(F.min_by(c, best).alias(c) for c in ("target_name", "category", "id", "title", "package", "version", "location")),
+        F.min_by(F.struct(*chosen), best).alias("__best"),
         severity_name(F.max(rank)).alias("severity"), F.max("cvss").alias("cvss"), F.array_distinct(F.transform(union("cves"), F.upper)).alias("cves"), union("references").alias("references"),
         first("target_ip"), first("endpoint"), first("fixed_version"), F.array_sort(F.collect_set("scanner")).alias("found_by"), F.count(F.lit(1)).alias("n_raw"),
     )
-    return rows.drop("k_target", "k_category", "k_id", "k_package", "k_place").withColumn("cves", F.array_sort("cves")).withColumn("n_scanners", F.size("found_by"))
+    rows = rows.select(*(F.col(f"__best.{c}").alias(c) for c in chosen), *(c for c in rows.columns if c != "__best" and not c.startswith("k_")))
+    return rows.withColumn("cves", F.array_sort("cves")).withColumn("n_scanners", F.size("found_by"))
 
 
 def agreement_histogram(rows: DataFrame, cap: int = 4) -> DataFrame:

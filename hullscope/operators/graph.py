@@ -1,7 +1,8 @@
 """The layer forest: construction, single-owner attribution of pulls, reachability and closures, and the exposure ranking.
 
 Loops keep a frontier that shrinks every round, joined with the edges by key; each round's frontier is written to the
-shared folder, so lineage stays short and a lost executor costs one round. ``max_depth`` bounds cyclic input.
+shared folder, so lineage stays short and a lost executor costs one round. Walks end after one turn of a cycle; more than
+``max_depth`` rounds raise.
 """
 
 from __future__ import annotations
@@ -47,17 +48,23 @@ def attributed(parents: DataFrame, pulls: DataFrame, max_depth: int = MAX_DEPTH)
     several = parents.select(F.col("child").alias("m_child"), "multiparent")
     # the ancestor's own pull and eligibility, once for each edge
     step = kept(up.join(p, F.col("parent") == F.col("p_node"), "left").join(several, F.col("parent") == F.col("m_child"), "left").select("u_child", "parent", F.coalesce("p_pull", F.lit(0)).alias("a_pull"), F.coalesce("multiparent", F.lit(False)).alias("a_multi")), "steps")
-    open_ = pulls.where("pull > 0").select("node", F.col("node").alias("cur"), F.col("pull").alias("best"), F.lit(None).cast(pulls.schema["node"].dataType).alias("owner"), "pull")
+    open_ = pulls.where("pull > 0").select("node", F.col("node").alias("cur"), F.col("pull").alias("best"), F.lit(None).cast(pulls.schema["node"].dataType).alias("owner"), "pull", F.col("node").alias("mark"))
     done = None
-    for _ in range(max_depth):
+    for i in range(max_depth):
         joined = kept(open_.join(step, F.col("cur") == F.col("u_child"), "left"), "frontier")
-        ended = joined.where("u_child IS NULL AND owner IS NOT NULL").select("owner", "pull")
-        done = ended if done is None else done.unionByName(ended)
+        over = F.col("u_child").isNull() | (F.col("parent") == F.col("mark"))  # at a root, or once around a cycle
         better = (F.col("a_pull") > F.col("best")) & ~F.col("a_multi")
-        open_ = joined.where("u_child IS NOT NULL").select("node", F.col("parent").alias("cur"), F.when(better, F.col("a_pull")).otherwise(F.col("best")).alias("best"), F.when(better, F.col("parent")).otherwise(F.col("owner")).alias("owner"), "pull")
+        ended = joined.where(over & F.col("owner").isNotNull()).select("owner", "pull")
+        done = ended if done is None else done.unionByName(ended)
+        open_ = joined.where(~over).select("node", F.col("parent").alias("cur"), F.when(better, F.col("a_pull")).otherwise(F.col("best")).alias("best"), F.when(better, F.col("parent")).otherwise(F.col("owner")).alias("owner"), "pull", marked(i, "parent"))
         if open_.isEmpty():
-            break
-    return done.groupBy(F.col("owner").alias("node")).agg(F.sum("pull").alias("downstream"), F.count(F.lit(1)).alias("dependency_weight"))
+            return done.groupBy(F.col("owner").alias("node")).agg(F.sum("pull").alias("downstream"), F.count(F.lit(1)).alias("dependency_weight"))
+    raise RuntimeError(f"chains of over {max_depth} nodes")
+
+
+def marked(i: int, at: str) -> Column:
+    """A walker's mark moves to where it stands at every power of two; it meets the mark again only by going around a cycle."""
+    return (F.col(at) if (i + 1) & i == 0 else F.col("mark")).alias("mark")
 
 
 def reachable(starts: DataFrame, parents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -69,9 +76,9 @@ def reachable(starts: DataFrame, parents: DataFrame, max_depth: int = MAX_DEPTH)
         new = frontier.join(down, F.col("node") == F.col("parent")).select("source", F.col("child").alias("node")).distinct()
         frontier = kept(new.join(seen, ["source", "node"], "left_anti"), "reach")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+    raise RuntimeError(f"chains of over {max_depth} nodes")
 
 
 def propagation(starts: DataFrame, parents: DataFrame, image_nodes: DataFrame) -> DataFrame:
@@ -82,18 +89,30 @@ def propagation(starts: DataFrame, parents: DataFrame, image_nodes: DataFrame) -
     return total.join(direct, "source").withColumn("factor", F.bround(F.col("downstream") / F.col("direct"), 1))
 
 
-def closure(parents: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(ancestor, node) pairs without self, of all nodes or of the given ones."""
-    up = parents.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
-    frontier = kept(up if nodes is None else up.join(nodes.select("node"), "node", "left_semi"), "closure")
-    out = frontier
+def closure(parents: DataFrame, nodes: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(ancestor, node) pairs without self, of all nodes or of the given ones; each pair once, on cycles too."""
+    up = parents.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node <> ancestor")
+    start = up if nodes is None else up.join(nodes.select("node"), "node", "left_semi")
+    frontier = kept(start.withColumn("mark", F.col("node")), "closure")
+    out, cyclic = frontier.select("ancestor", "node"), False
     step = up.toDF("via", "next")
-    for _ in range(MAX_DEPTH):
-        frontier = kept(frontier.join(step, F.col("ancestor") == F.col("via")).select("node", F.col("next").alias("ancestor")).where("node <> ancestor"), "closure")
-        if frontier.isEmpty():
-            break
-        out = out.unionByName(frontier)
-    return out
+    for i in range(max_depth):
+        walked = kept(frontier.join(step, F.col("ancestor") == F.col("via")).select("node", F.col("next").alias("ancestor"), "mark"), "closure")
+        around = (F.col("ancestor") == F.col("mark")) | (F.col("ancestor") == F.col("node"))
+        found = walked.agg(F.count_if(~around).alias("open"), F.count_if(around).alias("around")).first()
+        cyclic = cyclic or found["around"] > 0
+        if not found["open"]:
+            return out.distinct() if cyclic else out
+        walked = walked.where(~around)
+        out = out.unionByName(walked.select("ancestor", "node"))
+        frontier = walked.select("node", "ancestor", marked(i, "ancestor"))
+    raise RuntimeError(f"chains of over {max_depth} nodes")
+
+
+def signature_only(tags: DataFrame, keys: list[str]) -> DataFrame:
+    """Repositories that have signature tags and no other."""
+    is_ = signature_tag(F.col("tag"))
+    return tags.groupBy(*keys).agg(F.bool_and(is_).alias("__only")).where("__only").select(*keys)
 
 
 def representative_tags(tags: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def installed_content(layers: DataFrame, key: str, instruction: str) -> DataFram
 
 
 #: Configuration files by path pattern, in the order in which they are tried.
-CONFIG_FILES = [("mongo", r"mongod?\.conf$"), ("couchdb", r"(default|local)(\.d/\S+)?\.ini$"), ("redis", r"redis\.conf$"), ("nginx", r"nginx\.conf$"), ("mosquitto", r"mosquitto\.conf$"), ("elasticsearch", r"elasticsearch\.yml$")]
+CONFIG_FILES = [("mongo", r"mongo(d|db)?\.conf$"), ("couchdb", r"(default|local)(\.d/\S+)?\.ini$"), ("redis", r"redis\.conf$"), ("nginx", r"nginx\.conf$"), ("mosquitto", r"mosquitto\.conf$"), ("elasticsearch", r"elasticsearch\.yml$")]
 #: Severity and score of the three kinds of issue; listening everywhere without authentication is worst.
 UNAUTHORISED, EVERYWHERE, EVERYWHERE_OPEN, TRAVERSAL = ("medium", 5.0), ("medium", 4.0), ("critical", 10.0), ("low", 3.0)
 

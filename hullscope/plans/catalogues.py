@@ -71,11 +71,11 @@ query("queue_trim", "SELECT id FROM {jobs} WHERE status <> 'pending' OR weight >
 query("queue_reweighted", "SELECT j.id, coalesce(w, weight) AS weight FROM {jobs} j LEFT JOIN (SELECT 'img' || CAST(image AS VARCHAR) AS image, max(CAST(exposure AS DOUBLE)) AS w FROM {images} WHERE image % 2 = 0 GROUP BY 1) r USING (image)")(
     lambda s, d: queue.reweighted(J(s, d), I(s, d).where("image % 2 = 0").select(F.concat(F.lit("img"), F.col("image").cast("string")).alias("image"), F.col("exposure").cast("double").alias("weight"))).select("id", "weight")
 )
-query("queue_seed", "SELECT image, status FROM (SELECT image, status FROM {jobs} UNION ALL SELECT 'new' || CAST(p_partkey AS VARCHAR), 'pending' FROM part WHERE p_partkey < 300)")(
+query("queue_seed", "SELECT image, status FROM (SELECT image, status FROM {jobs} UNION ALL SELECT 'new' || CAST(p_partkey AS VARCHAR), 'pending' FROM part)")(
     lambda s, d: queue.seed(job_rows(s, d), table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("new"), F.col("p_partkey").cast("string")).alias("image"), F.lit(None).cast("string").alias("name"), F.lit(1.0).alias("weight"))
     .unionByName(J(s, d).select(F.col("id").alias("seq"), "image", F.col("image").alias("name"), "weight")), 5.0).select("image", "status")
 )
-query("queue_fail_retry", "SELECT id, CASE WHEN id % 5 = 0 THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status FROM {jobs} WHERE id < 500")(
+query("queue_fail_retry", "SELECT id, CASE WHEN id % 5 = 0 THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status FROM {jobs}")(
     lambda s, d: queue.fail(job_rows(s, d), F.col("id") % 5 == 0, "boom", 9.0).select("id", "status")
 )
 query("queue_page", "SELECT id, weight FROM {jobs} WHERE status = 'done' AND contains(lower(image), 'g1') ORDER BY weight DESC, id LIMIT 20 OFFSET 40")(lambda s, d: search.page(J(s, d).where(search.equal_filters(status="done", worker=None) & search.containing("image", "G1")), [F.col("weight").desc(), F.col("id")], 3, 20).select("id", "weight"))

@@ -41,7 +41,7 @@ query("downstream_images", f"WITH {UP} SELECT anc AS node, count(*) AS images FR
 query("upstream_images", f"WITH {UP} SELECT node, count(*) AS images FROM up WHERE anc IN (SELECT node FROM pull) GROUP BY node")(
     lambda s, d: graph.closure(forest(s, d)).join(views.refs(s, d).select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("images"))
 )
-_STARTS = "SELECT 'CVE-' || CAST(p_size AS VARCHAR) AS source, p_partkey AS node FROM part WHERE p_partkey % 9 = 0 AND p_size <= 20"
+_STARTS = "SELECT 'CVE-' || CAST(p_size AS VARCHAR) AS source, p_partkey AS node FROM part"
 query(
     "cve_propagation",
     f"""WITH {UP}, st AS ({_STARTS}), re AS (SELECT DISTINCT source, node FROM st UNION SELECT source, up.node FROM st JOIN up ON up.anc = st.node),
@@ -58,8 +58,9 @@ def tags(s, d):
 
 
 query("representative_tags", f"SELECT ns, repo, tag FROM {_BEST}")(lambda s, d: graph.representative_tags(tags(s, d)))
-query("signature_only_repositories", f"SELECT ns, repo FROM ({_TAGS}) WHERE tag LIKE 'sha256-%' EXCEPT SELECT ns, repo FROM ({_TAGS}) WHERE tag NOT LIKE 'sha256-%'")(
-    lambda s, d: tags(s, d).where(graph.signature_tag(F.col("tag"))).select("ns", "repo").distinct().join(tags(s, d).where(~graph.signature_tag(F.col("tag"))).select("ns", "repo"), ["ns", "repo"], "left_anti")
+_SIGNED = "SELECT image % 485 AS repo, tag FROM {images}"  # images whose tags are signatures only, and others
+query("signature_only_repositories", f"SELECT repo FROM ({_SIGNED}) WHERE tag LIKE 'sha256-%' EXCEPT SELECT repo FROM ({_SIGNED}) WHERE tag NOT LIKE 'sha256-%'")(
+    lambda s, d: graph.signature_only(views.images(s, d).select((F.col("image") % 485).alias("repo"), "tag"), ["repo"])
 )
 _REF_TAGS = "(SELECT ns, repo, CASE WHEN max(CASE WHEN tag = 'latest' THEN 1 ELSE 0 END) = 1 THEN 'latest' ELSE max(tag) END AS best_tag FROM {refs} GROUP BY ns, repo)"
 query(
@@ -72,7 +73,7 @@ query(
 )(lambda s, d: graph.ranking(views.refs(s, d), owned(s, d), views.refs(s, d).groupBy("ns", "repo").agg(F.when(F.bool_or(F.col("tag") == "latest"), "latest").otherwise(F.max("tag")).alias("tag"))))
 query(
     "layer_chain",
-    """WITH l AS (SELECT l_orderkey AS image, sha256(CAST(l_partkey AS VARCHAR)) AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem WHERE l_orderkey < 500),
+    """WITH l AS (SELECT l_orderkey AS image, sha256(CAST(l_partkey AS VARCHAR)) AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
  c AS (SELECT image, i, sha256(h) AS id FROM l WHERE i = 1 UNION ALL SELECT l.image, l.i, sha256(c.id || l.h) FROM c JOIN l ON l.image = c.image AND l.i = c.i + 1) SELECT image, CAST(i AS INTEGER) AS pos, id FROM c""".replace("WITH l", "WITH RECURSIVE l"),
 )(
     lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))

@@ -18,7 +18,7 @@ GROUPS = f"""(SELECT image, id AS cve, package, bit_or(CASE scanner WHEN 'trivy'
  max(CASE WHEN scanner = 'trivy' THEN {RANK} END) AS rank_trivy, max(CASE WHEN scanner = 'grype' THEN {RANK} END) AS rank_grype, max(CASE WHEN scanner = 'osv' THEN {RANK} END) AS rank_osv, arg_min(ecosystem, (seq, ecosystem)) AS ecosystem
  FROM {{findings}} WHERE category = 'pkg-vuln' GROUP BY image, id, package)"""
 PER_IMAGE = f"""(SELECT i.image, coalesce(n_vulns, 0) AS n_vulns, coalesce(n_components, 0) AS n_components, coalesce(n_secrets, 0) AS n_secrets, coalesce(n_misconfigs, 0) AS n_misconfigs, coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high,
- coalesce({NAME.format(r="worst")}, 'none') AS worst, coalesce(pk, false) AS has_private_key FROM (SELECT image FROM {{images}} WHERE image < 2500) i LEFT JOIN
+ coalesce({NAME.format(r="worst")}, 'none') AS worst, coalesce(pk, false) AS has_private_key FROM {{images}} i LEFT JOIN
  (SELECT image, count(*) FILTER (category = 'pkg-vuln') AS n_vulns, count(*) FILTER (category = 'sbom-component') AS n_components, count(*) FILTER (category = 'secret') AS n_secrets, count(*) FILTER (category = 'image-config') AS n_misconfigs,
   count(*) FILTER (category = 'pkg-vuln' AND severity = 'critical') AS n_critical, count(*) FILTER (category = 'pkg-vuln' AND severity = 'high') AS n_high, max({RANK}) FILTER (category = 'pkg-vuln') AS worst, bool_or(category = 'secret' AND title = 'private key') AS pk
   FROM {{findings}} GROUP BY image) f ON i.image = f.image)"""
@@ -88,10 +88,7 @@ query("top_cves_by_digests_then_downstream", f"SELECT * FROM (SELECT * FROM ({PE
 query("top_packages", f"SELECT {PKG} AS name, count(*) AS n FROM {{findings}} WHERE category = 'pkg-vuln' GROUP BY 1 ORDER BY n DESC, name LIMIT 25")(
     lambda s, d: search.top(views.findings(s, d).where("category = 'pkg-vuln'").withColumn("name", ops.package_name(F.col("package"))), "name", 25)
 )
-query("cve_digests", "WITH i AS (SELECT image, digest FROM {images} WHERE digest <> ''), f AS (SELECT DISTINCT id, image FROM {findings} WHERE id LIKE 'CVE-%') SELECT id, count(DISTINCT digest) AS n_digests, md5(string_agg(DISTINCT digest, ',' ORDER BY digest)) AS digests_md5 FROM f JOIN i USING (image) GROUP BY id ORDER BY n_digests DESC, id LIMIT 30")(
-    lambda s, d: views.findings(s, d).where("startswith(id, 'CVE-')").select("id", "image").distinct().join(views.images(s, d).where("digest <> ''").select("image", "digest"), "image").groupBy("id")
-    .agg(F.count_distinct("digest").alias("n_digests"), F.md5(F.array_join(F.array_sort(F.collect_set("digest")), ",")).alias("digests_md5")).orderBy(F.col("n_digests").desc(), "id").limit(30)
-)
+query("cve_digests", "WITH i AS (SELECT image, digest FROM {images} WHERE digest <> ''), f AS (SELECT DISTINCT id, image FROM {findings} WHERE id LIKE 'CVE-%') SELECT id, count(DISTINCT digest) AS n_digests, md5(string_agg(DISTINCT digest, ',' ORDER BY digest)) AS digests_md5 FROM f JOIN i USING (image) GROUP BY id ORDER BY n_digests DESC, id LIMIT 30")(lambda s, d: ops.top_digests(views.findings(s, d), views.images(s, d), 30))
 
 
 def raw(spark, sf_dir):
@@ -121,14 +118,14 @@ query("coverage_matrix", "SELECT category, " + ", ".join(f"count(*) FILTER (scan
 query("osv_backfill", "SELECT CASE WHEN scanner = 'osv' AND category = 'pkg-vuln' AND severity = 'unknown' THEN coalesce(CASE WHEN CAST(right(id, 2) AS INTEGER) % 3 = 0 THEN 'high' END, severity) ELSE severity END AS severity, count(*) AS n FROM {findings} GROUP BY 1")(
     lambda s, d: ops.counts(ops.corrected(views.findings(s, d), views.findings(s, d).select("id", F.lit("high").alias("severity"), "seq").where(F.substring("id", -2, 2).cast("int") % 3 == 0)), "severity")
 )
-query("merged_order", f"SELECT target_name, lid AS id, category, severity, cvss FROM {MERGED} ORDER BY {RANK} DESC, cvss DESC, target_name, lid, category, array_to_string(found_by, ','), n_raw DESC LIMIT 400")(
+query("merged_order", f"SELECT target_name, lid AS id, category, severity, cvss FROM {MERGED} ORDER BY {RANK} DESC, cvss DESC, target_name, lid, category, array_to_string(found_by, ','), n_raw DESC")(
     lambda s, d: merged(s, d).select("target_name", F.lower("id").alias("id"), "category", "severity", "cvss", "found_by", "n_raw").orderBy(ops.severity_rank(F.col("severity")).desc(), F.col("cvss").desc(), "target_name", "id", "category", F.array_join("found_by", ","), F.col("n_raw").desc()).drop("found_by", "n_raw")
 )
 query("recent_cve_share", "SELECT round(count(DISTINCT CASE WHEN CAST(regexp_extract(id, '^CVE-(\\d{4})-\\d+', 1) AS INTEGER) >= 2020 THEN id END) * 100.0E0 / count(DISTINCT id), 6) AS pct FROM {findings} WHERE id LIKE 'CVE-%'")(
     lambda s, d: ops.cves_by_year(views.findings(s, d)).agg(F.round(F.sum(F.when(F.col("year") >= 2020, F.col("cves"))) * 100.0 / F.sum("cves"), 6).alias("pct"))
 )
-query("severity_containers", "WITH c AS (SELECT image, count(*) AS n FROM {findings} WHERE severity IN ('critical', 'high') GROUP BY image) SELECT CASE WHEN n >= 30 THEN '30+' WHEN n >= 20 THEN '20-29' WHEN n >= 10 THEN '10-19' WHEN n >= 5 THEN '5-9' ELSE '1-4' END AS bin, count(*) AS images FROM c GROUP BY 1")(
-    lambda s, d: ops.counts(views.findings(s, d).where("severity IN ('critical', 'high')"), "image").groupBy(F.when(F.col("n") >= 30, "30+").when(F.col("n") >= 20, "20-29").when(F.col("n") >= 10, "10-19").when(F.col("n") >= 5, "5-9").otherwise("1-4").alias("bin")).agg(F.count(F.lit(1)).alias("images"))
+query("severity_containers", "WITH c AS (SELECT i.image, count(f.severity) AS n FROM {images} i LEFT JOIN (SELECT image, severity FROM {findings} WHERE severity IN ('critical', 'high')) f ON f.image = i.image GROUP BY i.image) SELECT CASE WHEN n >= 30 THEN '30+' WHEN n >= 20 THEN '20-29' WHEN n >= 10 THEN '10-19' WHEN n >= 5 THEN '5-9' WHEN n >= 1 THEN '1-4' ELSE '0' END AS bin, count(*) AS images FROM c GROUP BY 1")(
+    lambda s, d: ops.severe_bins(views.images(s, d), views.findings(s, d))
 )
 query("most_exposed_images", "SELECT image, count(*) FILTER (severity = 'critical') * 4 + count(*) FILTER (severity = 'high') AS score FROM {findings} GROUP BY image ORDER BY score DESC, image LIMIT 25")(
     lambda s, d: views.findings(s, d).groupBy("image").agg((F.count_if(F.col("severity") == "critical") * 4 + F.count_if(F.col("severity") == "high")).alias("score")).orderBy(F.col("score").desc(), "image").limit(25)

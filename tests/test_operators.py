@@ -144,3 +144,65 @@ def test_shards():
 
 def test_run_commands(spark):
     assert value(spark, rules.run_commands(F.lit("use: docker run -it \\\n  nginx\nbye"))) == ["docker run -it \\\n  nginx"]
+
+
+def test_closures_on_cycles(spark):
+    """1 -> 2 -> 3 -> 2 upwards, 4 below 1, and a node that is its own parent: each pair once, self left out."""
+    up = {1: 2, 2: 3, 3: 2, 4: 1, 7: 7, 8: 7}
+    parents = frame(spark, [(c, p, False) for c, p in up.items()], "child int, parent int, multiparent boolean")
+
+    def ancestors(n):
+        out, at = set(), n
+        while at in up and up[at] not in out:
+            at = up[at]
+            out.add(at)
+        return out - {n}
+
+    want = sorted((a, n) for n in up for a in ancestors(n))
+    assert sorted(map(tuple, graph.closure(parents).collect())) == want
+    pulls = frame(spark, [(1, 5), (2, 50), (3, 40), (4, 1), (8, 2), (7, 9)], "node int, pull long")
+    assert {r.node: (r.downstream, r.dependency_weight) for r in graph.attributed(parents, pulls).collect()} == {2: (46, 3), 7: (2, 1)}
+    with pytest.raises(RuntimeError):
+        graph.closure(frame(spark, [(i, i + 1, False) for i in range(9)], "child int, parent int, multiparent boolean"), max_depth=3)
+
+
+@pytest.mark.parametrize(("instruction", "ports"), [("EXPOSE map[80/tcp:{} 443/udp:{}]", ["80/tcp", "443/udp"]), ("EXPOSE [8080/tcp]", ["8080/tcp"]), ("EXPOSE 80 443", ["80", "443"]), ("/bin/sh -c #(nop)  EXPOSE 5432", ["5432"]), ("RUN sleep 80", []), ("ENV A=1 2", []), (None, [])])
+def test_exposed_ports(spark, instruction, ports):
+    assert value(spark, tx.exposed_ports(F.lit(instruction))) == ports
+
+
+@pytest.mark.parametrize(("path", "app"), [("/etc/mongodb.conf", "mongo"), ("/etc/mongod.conf", "mongo"), ("mongo.conf", "mongo"), ("/opt/couchdb/etc/local.d/a.ini", "couchdb"), ("/etc/xnginx.conf", "nginx"), ("/etc/hosts", None)])
+def test_config_files(spark, path, app):
+    assert value(spark, rules.config_app(F.lit(path))) == app
+
+
+@pytest.mark.parametrize(("lines", "found"), [(["location / {", "autoindex on;"], True), (["location /files/ {", "autoindex on;"], False), (["alias /x;", "autoindex on;"], False), (["autoindex on;"], True), ([], False)])
+def test_listed_directories(spark, lines, found):
+    assert value(spark, rules.lists_directories(F.array(*map(F.lit, lines)).cast("array<string>"))) is found
+
+
+def test_queue_transitions(spark):
+    from hullscope.schemas import JOB
+
+    new = queue.seed(spark.createDataFrame([], JOB), frame(spark, [(1, "a", None, 2.0), (2, "b", None, 3.0), (3, "a", None, 9.0)], "seq int, image string, name string, weight double"), 1.0)
+    state = lambda df: {r["image"]: r["status"] for r in df.collect()}
+    run = queue.claim(new, "w", 2, 5.0).cache()
+    ids = {r["image"]: r["id"] for r in run.collect()}
+    assert state(run) == {"a": "running", "b": "running"}
+    assert {r["image"]: r["heartbeat_at"] for r in queue.heartbeat(run, [ids["a"]], 9.0).collect()} == {"a": 9.0, "b": 5.0}
+    done = queue.complete(run, [ids["a"]], 10.0)
+    assert state(done) == {"a": "done", "b": "running"} and done.where("image = 'a'").first()["finished_at"] == 10.0
+    assert state(queue.skip(run, [ids["b"]], "why", 11.0)) == {"a": "running", "b": "skipped"}
+    assert state(queue.heartbeat(done, [ids["a"]], 12.0)) == {"a": "done", "b": "running"}
+    assert state(queue.reset(done, ("done",))) == {"a": "pending", "b": "running"}
+    reports = queue.upserted(frame(spark, [("a", 1), ("b", 2)], "image string, n int"), frame(spark, [("b", 3), ("c", 4)], "image string, n int"))
+    assert sorted(map(tuple, reports.collect())) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+@pytest.mark.parametrize(("x", "shown"), [(7.0, "7"), (1234.0, "1.2k"), (5.6e6, "5.6M"), (7.89e9, "7.9B")])
+def test_short_numbers(spark, x, shown):
+    assert value(spark, tx.short_number(F.lit(x))) == shown
+
+
+def test_legal_digests(spark):
+    assert value(spark, tx.legal_digest(F.lit("sha256:" + "a" * 64))) and not value(spark, tx.legal_digest(F.lit("sha256:" + "a" * 63)))
