@@ -593,6 +593,7 @@ def test_gains_are_differences_of_the_likelihood():
             joint = g(row[c : c + 1], after.sum(keepdims=True) + before[c] + same[w])[0] + g(column[c : c + 1], before.sum(keepdims=True) + after[c] + same[w])[0]
             alone = g(row[c : c + 1], after.sum(keepdims=True) + same[w])[0] + g(column[c : c + 1], before.sum(keepdims=True) + same[w])[0]
             assert math.isclose(got[w, c], own[c] + others + joint - alone, rel_tol=1e-9, abs_tol=1e-9)
+        assert np.allclose(got[w], brown_lm.gain_of_one(table, size - 1, beside[w, :size], beside[w, size:], same[w]))
 
 
 def test_every_known_word_is_clustered(docs, texts, spark, monkeypatch):
