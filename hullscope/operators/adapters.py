@@ -208,12 +208,16 @@ def zap(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Titles of findings that the tool gives none.
+INJECTION, OTHER_RESULT = "SQL injection confirmed by sqlmap", "sqlmap result"
+
+
 def sqlmap(docs: DataFrame) -> DataFrame:
     """Logs that record an injection point, and any JSON object that isn't empty."""
     log = docs.where(F.col("doc").contains("is vulnerable") | F.col("doc").contains("Parameter:"))
     other = docs.where(F.ltrim("doc").startswith("{") & F.try_parse_json("doc").isNotNull() & (F.size(F.coalesce(F.json_object_keys("doc"), no_strings())) > 0))
     own = lambda rows, title: finding(rows, "sqlmap", "web-vuln", F.lit("high"), id=F.lit("sqli"), title=F.lit(title), description=text(F.col("doc"), 2000))
-    return own(log, "SQL injection confirmed by sqlmap").unionByName(own(other, "sqlmap result"))
+    return own(log, INJECTION).unionByName(own(other, OTHER_RESULT))
 
 
 def openvas(rows: DataFrame, targets: DataFrame) -> DataFrame:

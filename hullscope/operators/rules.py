@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Patterns that decide which part of a text is a command or an address; other ones would find other texts.
 RUN_COMMAND = r"docker\s+run.*(?:\\[\n\r].+)*."
 URL = r"\s(https?://\S*)"
+INSTALL = r"({tool}\s+install\s+.*?)(?:&&|\n|$)"
+FETCH = r"(wget\s+(?s:.)*?)(?:&&|$)"
+ADDED = r"ADD\s+.*(https?://\S+)"
 
 
 def matches(texts: DataFrame, rules: list[tuple[str, str, str]], key: str, text: str) -> DataFrame:
@@ -27,7 +31,7 @@ def run_commands(text: Column) -> Column:
 
 def commands(instruction: Column, tool: str) -> Column:
     """Whole 'pip install ...' or 'npm install ...' commands, each up to '&&' or the line's end; 'wget ...' up to '&&' or the text's end."""
-    pattern = r"(wget\s+(?s:.)*?)(?:&&|$)" if tool == "wget" else rf"({tool}\s+install\s+.*?)(?:&&|\n|$)"
+    pattern = FETCH if tool == "wget" else INSTALL.replace("{tool}", tool)
     return F.regexp_extract_all(F.coalesce(instruction, F.lit("")), F.lit(pattern), F.lit(1))
 
 
@@ -37,7 +41,7 @@ def urls(text: Column) -> Column:
 
 def added_urls(instruction: Column) -> Column:
     """URLs of an ADD instruction."""
-    return F.when(instruction.rlike(r"ADD\s+.*(https?://\S+)"), urls(instruction)).otherwise(F.array().cast("array<string>"))
+    return F.when(instruction.rlike(ADDED), urls(instruction)).otherwise(F.array().cast("array<string>"))
 
 
 #: Options of 'pip install' that take the next word, by the name they are kept under.
