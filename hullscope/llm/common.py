@@ -23,10 +23,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: the cluster's, or a temporary one where none is set (tests)."""
+    """The folder that the driver and all executors see: the cluster's; a local session gets its own where none is set."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="hullscope-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
