@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("prevalence", "statistics", "graphs", "catalogues", "corpus", "scanners", "files")
+MODULES = ("prevalence", "statistics", "graphs", "catalogues", "corpus", "scanners", "files", "summaries")
 
 
 def load() -> tuple[dict, dict]:
