@@ -32,7 +32,7 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "pos") -> DataFrame
 
 
 def linear_percentile(value: str | Column, q: float) -> Column:
-    """Linear interpolation at (n - 1) q."""
+    """Linear interpolation at (n - 1) q, as an aggregate for groups that fit in a task; else ``linear_percentiles``."""
     return F.percentile(value, q)
 
 
@@ -40,12 +40,61 @@ def true_median(value: str | Column) -> Column:
     return F.percentile(value, 0.5)
 
 
+#: Rows of a small side that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def checked(few: DataFrame) -> DataFrame:
+    """few, broadcast if its counted rows allow it, merged otherwise."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("merge")
+
+
+def ranked_within(rows: DataFrame, keys: list[str], order: list[Column], name: str = "pos", size: str = "size") -> DataFrame:
+    """rows with 0-based positions in the given order within each key, and the key's number of rows.
+
+    Dealt by range of key and order, so a key that holds most rows is split like any other stretch; shifted by the counts of
+    the key in the parts before: a row for each key of each part is what is joined.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(k) for k in keys]
+    dealt = rows.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    from .checkpoint import kept
+
+    dealt = kept(dealt)
+    w = Window.partitionBy(*keys)
+    counts = dealt.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    starts = counts.select(*keys, "__part", "__first", F.coalesce(F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__skip"), F.sum("__n").over(w).alias(size))
+    starts = kept(starts).toDF(*(f"__k{i}" for i in range(len(keys))), "__p", "__first", "__skip", size)
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)), F.col("__part") == F.col("__p"))
+    found = dealt.join(checked(starts), on)
+    return found.select(*rows.columns, (F.col("__id") - F.col("__first") + F.col("__skip")).alias(name), size)
+
+
+def linear_percentiles(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Linear interpolation at (n - 1) q, by name: of each key the two elements around each place."""
+    own = _positions(rows, keys, value)
+    at = {k: (F.col("__n") - 1) * F.lit(q) for k, q in qs.items()}
+    low, high = {k: F.floor(x) for k, x in at.items()}, {k: F.ceil(x) for k, x in at.items()}
+    own = own.where(F.col("__i").isin(*low.values(), *high.values()))
+    v = F.col("__v").cast("double")
+    pick = lambda when: F.max(F.when(when, v))
+    cols = []
+    for k, x in at.items():
+        a, b, part = pick(F.col("__i") == low[k]), pick(F.col("__i") == high[k]), F.max(x - F.floor(x))
+        cols.append((a * (F.lit(1.0) - part) + b * part).alias(k))
+    return own.groupBy(*keys).agg(*cols)
+
+
+def true_medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    return linear_percentiles(rows, keys, value, {name: 0.5})
+
+
 def _positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    own = rows.where(F.col(value).isNotNull())
+    own = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
     if not keys:
-        return ranked(own.select(F.col(value).alias("__v")), [F.col("__v")], "__i").withColumn("__n", F.lit(own.count()))
-    w = Window.partitionBy(*keys)
-    return own.select(*keys, F.col(value).alias("__v"), (F.row_number().over(w.orderBy(value)) - 1).alias("__i"), F.count(F.lit(1)).over(w).alias("__n"))
+        return ranked(own, [F.col("__v")], "__i").withColumn("__n", F.lit(own.count()))
+    return ranked_within(own, keys, [F.col("__v")], "__i", "__n")
 
 
 def _element(rows: DataFrame, keys: list[str], value: str, index: Column, name: str) -> DataFrame:
@@ -81,8 +130,7 @@ def deciles(rows: DataFrame, by: str, tie: str, *more: str) -> DataFrame:
 def decile_summary(rows: DataFrame, by: str, tie: str, value: str) -> DataFrame:
     """By decile of ``by``: rows, quartiles of ``value`` (upper-element convention), share of rows with value > 0."""
     own = deciles(rows, by, tie, value)
-    w = Window.partitionBy("decile")
-    own = own.select("decile", value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    own = ranked_within(own.select("decile", value), ["decile"], [F.col(value)], "i", "n")
     at = lambda k, name: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * k / 4), F.col("n") - 1), F.col(value))).alias(name)
     return own.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), at(1, "q1"), at(2, "median"), at(3, "q3"), (F.count_if(F.col(value) > 0) * 100.0 / F.count(F.lit(1))).alias("prevalence"))
 

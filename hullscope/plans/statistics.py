@@ -20,7 +20,7 @@ def images(s, d):
 
 
 query("percentile_linear", "SELECT status, round(quantile_cont(pull, 0.25), 6) AS p25, round(quantile_cont(pull, 0.5), 6) AS p50, round(quantile_cont(pull, 0.9), 6) AS p90, round(quantile_cont(pull, 0.99), 6) AS p99 FROM {images} GROUP BY status")(
-    lambda s, d: images(s, d).groupBy("status").agg(*(F.round(stats.linear_percentile("pull", q), 6).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.9, 0.99)))
+    lambda s, d: stats.linear_percentiles(images(s, d), ["status"], "pull", {f"p{round(q * 100)}": q for q in (0.25, 0.5, 0.9, 0.99)}).select("status", *(F.round(f"p{x}", 6).alias(f"p{x}") for x in (25, 50, 90, 99)))
 )
 query("percentile_nearest_rank", f"SELECT status, max(CASE WHEN i + 1 = greatest(CAST(ceil(n * 0.5E0) AS BIGINT), 1) THEN pull END) AS p50, max(CASE WHEN i + 1 = greatest(CAST(ceil(n * 0.99E0) AS BIGINT), 1) THEN pull END) AS p99 FROM {POS} GROUP BY status")(
     lambda s, d: stats.nearest_rank_percentile(images(s, d), ["status"], "pull", 0.5, "p50").join(stats.nearest_rank_percentile(images(s, d), ["status"], "pull", 0.99, "p99"), "status")
@@ -32,7 +32,7 @@ query("percentile_floor_index", f"SELECT status, max(CASE WHEN i = least(CAST(fl
 query("percentile_rounded_index", f"SELECT status, max(CASE WHEN i = CAST(round_even((n - 1) * 0.5E0, 0) AS BIGINT) THEN pull END) AS p50, max(CASE WHEN i = CAST(round_even((n - 1) * 0.95E0, 0) AS BIGINT) THEN pull END) AS p95 FROM {POS} GROUP BY status")(
     lambda s, d: stats.rounded_index_percentile(images(s, d), ["status"], "pull", 0.5, "p50").join(stats.rounded_index_percentile(images(s, d), ["status"], "pull", 0.95, "p95"), "status")
 )
-query("median_true", "SELECT status, round(median(pull), 6) AS median FROM {images} GROUP BY status")(lambda s, d: images(s, d).groupBy("status").agg(F.round(stats.true_median("pull"), 6).alias("median")))
+query("median_true", "SELECT status, round(median(pull), 6) AS median FROM {images} GROUP BY status")(lambda s, d: stats.true_medians(images(s, d), ["status"], "pull", "median").withColumn("median", F.round("median", 6)))
 query(
     "exposure_deciles",
     """WITH x AS (SELECT exposure, image, CAST((10 * (row_number() OVER (ORDER BY exposure, image) - 1) + 9) // count(*) OVER () AS INTEGER) AS decile, downstream FROM {images}),
@@ -85,7 +85,7 @@ _MID, _HALF, _BASE = f"(p + {Z} * {Z} / (2 * n))", f"({Z} * sqrt(p * (1 - p) / n
 query("wilson_interval", f"SELECT status, k, CAST(n AS BIGINT) AS n, round(({_MID} - {_HALF}) / {_BASE}, 6) AS low, round(({_MID} + {_HALF}) / {_BASE}, 6) AS high FROM (SELECT status, count(*) FILTER (digest = '') AS k, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (digest = '') / CAST(count(*) AS DOUBLE) AS p FROM {{images}} GROUP BY status)")(_wilson)
 query("systematic_sample", "SELECT image, pull FROM (SELECT image, pull, row_number() OVER (ORDER BY pull DESC, image) - 1 AS i FROM {images}) WHERE i % 100 = 0")(lambda s, d: stats.systematic(images(s, d).select("image", "pull"), [F.col("pull").desc(), F.col("image")], 100).select("image", "pull"))
 query("above_median_share", f"SELECT status, round(count(*) FILTER (pull > m) * 100.0E0 / count(*), 6) AS pct FROM (SELECT status, pull, max(CASE WHEN i = n // 2 THEN pull END) OVER (PARTITION BY status) AS m FROM {POS}) GROUP BY status")(
-    lambda s, d: images(s, d).join(F.broadcast(kept(stats.upper_percentile(images(s, d), ["status"], "pull", 1, 2, "m"))), "status").groupBy("status").agg(F.round(F.count_if(F.col("pull") > F.col("m")) * 100.0 / F.count(F.lit(1)), 6).alias("pct"))
+    lambda s, d: images(s, d).join(stats.checked(kept(stats.upper_percentile(images(s, d), ["status"], "pull", 1, 2, "m"))), "status").groupBy("status").agg(F.round(F.count_if(F.col("pull") > F.col("m")) * 100.0 / F.count(F.lit(1)), 6).alias("pct"))
 )
 query("volume_spread", "SELECT round(max(n) / CAST(min(n) AS DOUBLE), 6) AS spread FROM (SELECT count(*) AS n FROM {findings} GROUP BY scanner)")(lambda s, d: views.findings(s, d).groupBy("scanner").agg(F.count(F.lit(1)).alias("n")).agg(F.round(F.max("n") / F.min("n"), 6).alias("spread")))
 query("running_marginal_share", "SELECT scanner, n, round(CAST(sum(n) OVER (ORDER BY n DESC, scanner) AS DOUBLE) / sum(n) OVER (), 6) AS share FROM (SELECT scanner, count(*) AS n FROM {findings} GROUP BY scanner)")(

@@ -49,10 +49,10 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
 
 def rate(history: DataFrame, key: str, at: str, count: str, points: int = 8, least_seconds: int = 60) -> DataFrame:
     """By key, from the last few points: change a minute between the first and the last of them; null under a minute, never below 0."""
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(-(points - 1), 0)
     last = Window.partitionBy(key).orderBy(F.col(at).desc())
-    span: Column = F.unix_seconds(F.last(at).over(w)) - F.unix_seconds(F.first(at).over(w))
-    rows = history.select(key, span.alias("span"), (F.last(count).over(w) - F.first(count).over(w)).alias("gain"), F.row_number().over(last).alias("rn")).where("rn = 1")
+    few = history.select(key, at, count, F.row_number().over(last).alias("rn")).where(F.col("rn") <= points)  # cut in each task before the shuffle
+    span: Column = F.unix_seconds(F.max(at)) - F.unix_seconds(F.min(at))
+    rows = few.groupBy(key).agg(span.alias("span"), (F.max_by(count, F.struct(at, -F.col("rn"))) - F.min_by(count, F.struct(at, -F.col("rn")))).alias("gain"))
     return rows.select(key, F.when(F.col("span") >= least_seconds, F.greatest(F.lit(0.0), F.col("gain") * 60.0 / F.col("span"))).alias("per_minute"))
 
 
