@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as ops
 from ..operators import graph, images, summary
-from ..operators.checkpoint import kept
 from ..sources.readers import table
 from . import views
 from .corpus import OK, runs
@@ -35,7 +34,7 @@ query(
         + [_ROW.format(s="targets", k=f"'{k}'", v=f"count(*) FILTER ({c})", f=TARGETS) for k, c in (("targets", "true"), ("scanned", "skipped_reason = ''"), ("with_ip", "ip IS NOT NULL"))]
         + [_ROW.format(s="targets", k="'merged'", v="count(*)", f="m")]
     ),
-)(lambda s, d: summary.corpus_summary(targets(s, d), runs(s, d), kept(merged(s, d), "merged")))
+)(lambda s, d: summary.corpus_summary(targets(s, d), runs(s, d), merged(s, d)))
 query("throughput_figures", f"""WITH t AS (SELECT *, CASE WHEN finished_at >= started_at THEN finished_at - started_at END AS seconds FROM {TARGETS}), a AS (SELECT CAST(max(finished_at) - min(started_at) AS DOUBLE) AS span, count(*) FILTER (skipped_reason = '') AS scanned, avg(seconds) AS mean FROM t),
  m AS (SELECT seconds FROM (SELECT seconds, row_number() OVER (ORDER BY seconds) - 1 AS i, count(*) OVER () AS n FROM t WHERE seconds IS NOT NULL) WHERE i = n // 2), c AS (SELECT CAST(sum(wall_seconds) AS DOUBLE) AS cpu FROM {{runs}})
  SELECT round(span, 1) AS span, round(scanned / span * 60, 3) AS per_minute, round(scanned / span * 3600, 1) AS per_hour, round(mean, 1) AS avg_seconds, CAST((SELECT seconds FROM m) AS DOUBLE) AS median_seconds, round((SELECT cpu FROM c), 1) AS cpu_seconds, round((SELECT cpu FROM c) / span, 2) AS parallelism FROM a""")(lambda s, d: summary.throughput(targets(s, d), runs(s, d)))
@@ -52,7 +51,7 @@ query("scanner_report", f"""WITH m AS (SELECT unnest(found_by) AS scanner, len(f
  x AS (SELECT name, wall_seconds, row_number() OVER (PARTITION BY name ORDER BY wall_seconds) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM r), p AS (SELECT name, max(CASE WHEN i = CAST(round_even((n - 1) * 0.95E0, 0) AS BIGINT) THEN wall_seconds END) AS p95 FROM x GROUP BY name),
  a AS (SELECT name, count(*) AS runs, count(*) FILTER (WHERE {OK}) AS ok, count(*) FILTER (status LIKE 'error%') AS errors, count(*) FILTER (status LIKE 'timeout%') AS timeouts, count(*) FILTER (status LIKE 'skip%') AS skips, max(peak_mem_mb) AS peak_mem_mb FROM r GROUP BY name),
  f AS (SELECT scanner, count(*) AS merged, count(*) FILTER (k = 1 AND severity NOT IN ('info', 'unknown')) AS exclusive_meaningful, count(*) FILTER (k = 1) AS exclusive FROM m GROUP BY scanner), o AS (SELECT DISTINCT min(scanner) AS scanner FROM m GROUP BY category HAVING min(scanner) = max(scanner))
- SELECT a.name AS scanner, runs, ok, errors, timeouts, skips, peak_mem_mb, p95, coalesce(merged, 0) AS merged, coalesce(exclusive_meaningful, 0) AS exclusive_meaningful, coalesce(exclusive, 0) AS exclusive, o.scanner IS NOT NULL AS sole FROM a JOIN p USING (name) LEFT JOIN f ON f.scanner = a.name LEFT JOIN o ON o.scanner = a.name""")(lambda s, d: summary.scanner_table(named_runs(s, d), kept(merged(s, d), "merged")))
+ SELECT a.name AS scanner, runs, ok, errors, timeouts, skips, peak_mem_mb, p95, coalesce(merged, 0) AS merged, coalesce(exclusive_meaningful, 0) AS exclusive_meaningful, coalesce(exclusive, 0) AS exclusive, o.scanner IS NOT NULL AS sole FROM a JOIN p USING (name) LEFT JOIN f ON f.scanner = a.name LEFT JOIN o ON o.scanner = a.name""")(lambda s, d: summary.scanner_table(named_runs(s, d), merged(s, d)))
 
 
 def values(s, d):
