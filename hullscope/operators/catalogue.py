@@ -59,3 +59,24 @@ def stale(images: DataFrame, created: str, pushed: str, updated: str) -> DataFra
 def network_services(exposed: DataFrame, repositories: DataFrame, tags: DataFrame, images: DataFrame) -> DataFrame:
     """Each exposed image with what is known of its repository, tag and image; each may be missing."""
     return exposed.join(repositories, ["ns", "repo"], "left").join(tags, ["ns", "repo", "tag"], "left").join(images, ["digest"], "left")
+
+
+def job_targets(repositories: DataFrame, tags: DataFrame, threshold: int | None = None, newest: int | None = None, refresh: bool = False) -> DataFrame:
+    """(ns, repo, tag) to analyse: of repositories (ns, repo, pull_count, analysed) over a pull threshold, if one is given, all
+    tags or the newest few of each (tags: ns, repo, tag, updated); with refresh only tags newer than the repository's last analysis."""
+    own = repositories if threshold is None else repositories.where(F.col("pull_count") > threshold)
+    rows = tags.join(own.select("ns", "repo", "analysed"), ["ns", "repo"])
+    if refresh:
+        rows = rows.where(F.col("analysed").isNull() | (F.col("updated") > F.col("analysed")))
+    if newest is not None:
+        place = F.row_number().over(Window.partitionBy("ns", "repo").orderBy(F.col("updated").desc(), "tag"))
+        rows = rows.withColumn("__r", place).where(F.col("__r") <= newest)
+    return rows.select("ns", "repo", "tag")
+
+
+def exported(results: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Results of the wanted references (ns, repo, tag, and digest where one is given)."""
+    exact = results.join(wanted.where("coalesce(digest, '') <> ''").select("ns", "repo", "tag", "digest").distinct(), ["ns", "repo", "tag", "digest"], "left_semi")
+    named = wanted.where("coalesce(digest, '') = ''").select("ns", "repo", "tag").distinct()
+    loose = results.join(named, ["ns", "repo", "tag"], "left_semi")
+    return exact.join(named, ["ns", "repo", "tag"], "left_anti").select(*results.columns).unionByName(loose.select(*results.columns))

@@ -87,3 +87,38 @@ def verified(expected: DataFrame, recomputed: DataFrame, tolerance: float = 0.01
     near = (tol > 0) & F.when(a == 0, b == 0).otherwise(F.abs(b - a) <= tol * F.abs(a))
     status = F.when(F.col("there").isNull(), "SKIP").when(want == got, "PASS").when(F.coalesce(near, F.lit(False)), "DRIFT").when(F.coalesce("known", F.lit(False)), "KNOWN").otherwise("FAIL")
     return rows.select("name", status.alias("status"))
+
+
+def severity_maps(findings: DataFrame, severities: tuple[str, ...]) -> DataFrame:
+    """image, doc: a JSON object by scanner, in order, of counts by severity."""
+    own = findings.groupBy("image", "scanner").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in severities))
+    pairs = F.array_sort(F.collect_list(F.struct("scanner", F.struct(*severities).alias("counts"))))  # an image's few scanners
+    return own.groupBy("image").agg(F.to_json(F.map_from_entries(pairs)).alias("doc"))
+
+
+def shares_by(images: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """By a property of images: shares of those with a secret, and with a high or critical finding."""
+    own = findings.groupBy("image").agg(F.count_if(F.col("category") == "secret").alias("secrets"), F.count_if(F.col("severity").isin("high", "critical")).alias("severe"))
+    rows = images.join(own, "image", "left")
+    share = lambda c: F.round(F.count_if(F.col(c) > 0) * 100.0 / F.count(F.lit(1)), 6)
+    return rows.groupBy(key).agg(share("secrets").alias("secret_pct"), share("severe").alias("severe_pct"))
+
+
+def first_seen(findings: DataFrame, images: DataFrame) -> DataFrame:
+    """By identifier: severity and package of its first finding, and how many distinct digests it is in."""
+    rows = findings.join(images, "image").groupBy("id", "digest").agg(F.min(F.struct("seq", "severity", "package")).alias("x"))
+    return rows.groupBy("id").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("digests")).select("id", "x.severity", "x.package", "digests")
+
+
+def language_families(findings: DataFrame) -> DataFrame:
+    """High and critical package findings of three language families."""
+    eco = F.lower("ecosystem")
+    family = F.when(eco.isin("go-module", "go", "golang"), "go").when(eco == "npm", "npm").when(eco.isin("pypi", "python"), "py")
+    return findings.where("category = 'pkg-vuln' AND severity IN ('high', 'critical')").select(family.alias("family")).where("family IS NOT NULL").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
+def progress(rows: DataFrame, done: Column, at: str) -> DataFrame:
+    """One row: total, built, share in percent, how many an hour over the times seen, and the hours that the rest will take."""
+    own = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("built"), ((F.max(at) - F.min(at)) / 3600).alias("hours"))
+    pace = F.try_divide(F.col("built").cast("double"), F.col("hours"))
+    return own.select("total", "built", F.coalesce(F.try_divide(F.col("built") * 100.0, F.col("total")), F.lit(0.0)).alias("pct"), pace.alias("per_hour"), F.try_divide(F.col("total") - F.col("built"), pace).alias("hours_left"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import findings as ops
-from ..operators import graph, images, summary
+from ..operators import catalogue, graph, images, rules, summary
+from ..sources import readers
 from ..sources.readers import table
 from . import views
+from .catalogues import RULES
 from .corpus import OK, runs
+from .files import staged
 from .graphs import UP, forest
 from .prevalence import MERGED, merged
 from .registry import query
@@ -164,3 +167,44 @@ query("build_claims", f"WITH f AS (SELECT ns, repo FROM {_REPOS} WHERE pull_coun
 query("build_resets", f"SELECT ns, repo, CASE WHEN build_claimed AND graph_built_at IS NULL THEN false ELSE build_claimed END AS build_claimed FROM {_REPOS}")(lambda s, d: images.build_reset(repositories(s, d)).select("ns", "repo", "build_claimed"))
 query("builds_done", f"SELECT ns, repo, CASE WHEN repo % 4 = 0 THEN 11.0E0 ELSE graph_built_at END AS graph_built_at, CASE WHEN repo % 4 = 0 THEN false ELSE build_claimed END AS build_claimed FROM {_REPOS}")(lambda s, d: images.build_done(repositories(s, d), repositories(s, d).where("repo % 4 = 0"), 11.0).select("ns", "repo", "graph_built_at", "build_claimed"))
 query("repeated_keys", "SELECT repo, tag, count(*) AS n FROM {images} GROUP BY ALL HAVING count(*) > 1")(lambda s, d: images.unique_by(views.images(s, d), ["repo", "tag"]))
+
+
+@query("loaded_rules", " UNION ALL ".join(f"SELECT '{n}' AS rule, '{sv}' AS severity, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS m FROM documents) HAVING count(*) > 0" for n, p, sv in RULES))
+def loaded_rules(s, d):
+    """Rules from a file, applied to all texts."""
+    form = ["- name: {n}\n  regex: '{p}'\n  severity: {v}", "# next\n- name: '{n}'\n  severity: {v}\n  regex: '{p}'"]
+    doc = "\n".join(form[i % 2].format(n=n, p=p.replace("'", "''"), v=v.upper()) for i, (n, p, v) in enumerate(RULES))
+    path = staged(s.createDataFrame([(doc,)], "value string"), "rules")
+    own = [(r["name"], r["regex"], r["severity"]) for r in readers.rules(s, path).collect()]  # configuration
+    return rules.matches(table(s, d, "documents"), own, "doc_id", "text").groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+def repos(s, d):
+    return views.images(s, d).groupBy("ns", "repo").agg(F.max("pull").alias("pull_count"), F.when(F.min("image") % 2 == 0, F.min("updated")).alias("analysed"))
+
+
+_REPO = "(SELECT ns, repo, max(pull) AS pull_count, CASE WHEN min(image) % 2 = 0 THEN min(updated) END AS analysed FROM {images} GROUP BY ns, repo)"
+_JOBS = f"SELECT i.ns, i.repo, i.tag, i.updated, i.image, r.pull_count, r.analysed FROM {{images}} i JOIN {_REPO} r ON i.ns = r.ns AND i.repo = r.repo"
+query("jobs_over_threshold", f"SELECT ns, repo, tag FROM ({_JOBS}) WHERE pull_count > 300000")(lambda s, d: catalogue.job_targets(repos(s, d), views.images(s, d).select("ns", "repo", "tag", "updated"), threshold=300000))
+query("jobs_of_newest_tags", f"SELECT ns, repo, tag FROM (SELECT *, row_number() OVER (PARTITION BY ns, repo ORDER BY updated DESC, tag) AS k FROM ({_JOBS})) WHERE k <= 2")(lambda s, d: catalogue.job_targets(repos(s, d), views.images(s, d).select("ns", "repo", "tag", "updated"), newest=2))
+query("jobs_to_refresh", f"SELECT ns, repo, tag FROM ({_JOBS}) WHERE analysed IS NULL OR updated > analysed")(lambda s, d: catalogue.job_targets(repos(s, d), views.images(s, d).select("ns", "repo", "tag", "updated"), refresh=True))
+query("exported_results", "SELECT image FROM {images} i WHERE EXISTS (SELECT 1 FROM {images} w WHERE w.image % 8 = 0 AND w.ns = i.ns AND w.repo = i.repo AND w.tag = i.tag AND (w.digest = '' OR w.digest = i.digest))")(
+    lambda s, d: catalogue.exported(views.images(s, d), views.images(s, d).where("image % 8 = 0").select("ns", "repo", "tag", "digest")).select("image")
+)
+query("undigested_jobs", "SELECT id FROM (SELECT id, CASE WHEN id % 3 = 0 THEN image || '@sha256:0' ELSE image END AS image FROM {jobs}) WHERE image NOT LIKE '%@sha256:%'")(
+    lambda s, d: views.jobs(s, d).withColumn("image", F.when(F.col("id") % 3 == 0, F.concat("image", F.lit("@sha256:0"))).otherwise(F.col("image"))).where(~F.col("image").contains("@sha256:")).select("id")
+)
+query("container_maps", """SELECT image, '{' || string_agg('"' || scanner || '":{"critical":' || c || ',"high":' || h || '}', ',' ORDER BY scanner) || '}' AS doc FROM (SELECT image, scanner, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h FROM {findings} GROUP BY image, scanner) GROUP BY image""")(
+    lambda s, d: summary.severity_maps(views.findings(s, d), ("critical", "high"))
+)
+query("official_severity", "SELECT ns = 'Library' AS official, round(count(*) FILTER (secrets > 0) * 100.0E0 / count(*), 6) AS secret_pct, round(count(*) FILTER (severe > 0) * 100.0E0 / count(*), 6) AS severe_pct FROM (SELECT i.image, any_value(ns) AS ns, count(*) FILTER (category = 'secret') AS secrets, count(*) FILTER (severity IN ('high', 'critical')) AS severe FROM {images} i LEFT JOIN {findings} f ON f.image = i.image GROUP BY i.image) GROUP BY 1")(
+    lambda s, d: summary.shares_by(views.images(s, d).select("image", (F.col("ns") == "Library").alias("official")), views.findings(s, d), "official")
+)
+query("cve_first_seen", "SELECT id, arg_min(severity, seq) AS severity, arg_min(package, seq) AS package, count(DISTINCT digest) AS digests FROM {findings} f JOIN (SELECT image, digest FROM {images} WHERE digest <> '') i ON i.image = f.image WHERE id LIKE 'CVE-%' GROUP BY id")(
+    lambda s, d: summary.first_seen(views.findings(s, d).where("startswith(id, 'CVE-')"), views.images(s, d).where("digest <> ''").select("image", "digest"))
+)
+query("severe_families", "SELECT CASE WHEN e = 'go-module' THEN 'go' WHEN e = 'pypi' THEN 'py' ELSE e END AS family, count(*) AS n FROM (SELECT lower(ecosystem) AS e, severity FROM {findings} WHERE category = 'pkg-vuln') WHERE e IN ('go-module', 'npm', 'pypi') AND severity IN ('high', 'critical') GROUP BY 1")(lambda s, d: summary.language_families(views.findings(s, d)))
+query("build_progress", "SELECT total, built, round(built * 100.0E0 / total, 6) AS pct, round(built / hours, 6) AS per_hour, round((total - built) / (built / hours), 6) AS hours_left FROM (SELECT count(*) AS total, count(*) FILTER (status = 'done') AS built, (max(started_at) - min(started_at)) / 3600 AS hours FROM {jobs})")(
+    lambda s, d: summary.progress(views.jobs(s, d), F.col("status") == "done", "started_at").select("total", "built", *(F.round(c, 6).alias(c) for c in ("pct", "per_hour", "hours_left")))
+)
+query("scanner_target_severities", "SELECT scanner, image, count(*) AS n, CAST(count(*) FILTER (severity = 'critical') AS BIGINT) AS critical, CAST(count(*) FILTER (severity = 'high') AS BIGINT) AS high FROM {findings} GROUP BY ALL")(lambda s, d: views.findings(s, d).groupBy("scanner", "image").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("severity") == x).alias(x) for x in ("critical", "high"))))

@@ -104,3 +104,30 @@ def query_results(rows: DataFrame, first: str, *others: DataFrame) -> DataFrame:
         if not df.isEmpty():
             return df
     return rows
+
+
+def rules(spark: SparkSession, path: str) -> DataFrame:
+    """Pattern rules of a YAML list of flat mappings, one 'key: value' a line, values plain or quoted: name, regex, severity.
+
+    Configuration, so it is read on the driver; a rule without a name or a pattern is an error.
+    """
+    import re
+
+    found: list[dict[str, str]] = []
+    for (doc,) in spark.read.option("wholetext", True).text(path).collect():
+        for line in doc.split("\n"):
+            m = re.match(r"\s*(-\s+)?([A-Za-z_]+):\s+(.*?)\s*$", line)
+            if not m or line.lstrip().startswith("#"):
+                continue
+            if m[1]:
+                found.append({})
+            value = m[3]
+            if len(value) > 1 and value[0] == value[-1] == "'":
+                value = value[1:-1].replace("''", "'")
+            elif len(value) > 1 and value[0] == value[-1] == '"':
+                value = value[1:-1].replace('\\"', '"').replace("\\\\", "\\")
+            found[-1][m[2]] = value
+    for r in found:
+        if not r.get("name") or not r.get("regex"):
+            raise ValueError(f"a rule needs a name and a pattern: {r}")
+    return spark.createDataFrame([(r["name"], r["regex"], r.get("severity", "unknown").lower()) for r in found], "name string, regex string, severity string")
