@@ -16,9 +16,10 @@ places, three standard deviations above what is expected at 0.8. The similarity
 shingle sets, so no pair below 0.8 links.
 
 First each text is compared with its NEAREST closest candidates and its least, which joins a group with few pairs a member.
-Then all candidate pairs whose texts aren't connected yet are compared. Where more than BLOCK texts meet, the first search
-cuts them by hash; the second compares those outside the largest component with each other and with it, block by block, so
-no task holds more than two blocks and no pair is left out.
+Then texts that still have a candidate in another component are compared inside their buckets, all such pairs, each in the
+first bucket that it shares; what leaves a bucket are links that join components, fewer than its members. Where more than
+BLOCK texts meet, the first search cuts them by hash; the second compares those outside the largest component with each
+other and with it, block by block, so no task holds more than two blocks and no pair is left out.
 
 Defined cases: null and empty texts have no shingles and are copies of each other; a text of fewer than five words is one
 shingle; letters A to Z count as small. Texts are known by their XXH64. A component keeps the rows of its smallest doc_id,
@@ -215,9 +216,11 @@ def unpacked(column: pa.Array) -> np.ndarray:
 
 
 def members(rows: DataFrame, plan: Plan) -> DataFrame:
-    """key, node, n, s1, s2: a row for each bucket of each text. rows: node, n, s1, s2, vector."""
+    """key, node, n, s1, s2: a row for each bucket of each text. rows: node, n, s1, s2, vector. With a component in rows that
+    follows, and all keys of the text (empty where partitions give different numbers of them)."""
     names = ["key", "node", "n", "s1", "s2"]
     with_component = "component" in rows.columns
+    names += ["component", "keys"] if with_component else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,11 +232,12 @@ def members(rows: DataFrame, plan: Plan) -> DataFrame:
                 own = np.repeat(np.arange(b.num_rows), sizes)
                 cols = [pa.array(flat), *(b.column(i).take(pa.array(own)) for i in range(4))]
                 if with_component:
-                    cols.append(b.column(5).take(pa.array(own)))
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, *(["component"] if with_component else [])])
+                    every = [k.astype("<i8").tobytes() for k in keys] if isinstance(keys, np.ndarray) else [b""] * b.num_rows
+                    cols += [b.column(5).take(pa.array(own)), pa.array(every, pa.binary()).take(pa.array(own))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     extra = ["component"] if with_component else []
-    return rows.select("node", "n", "s1", "s2", "vector", *extra).mapInArrow(run, "key bigint, node bigint, n bigint, s1 bigint, s2 bigint" + (", component bigint" if extra else ""))
+    return rows.select("node", "n", "s1", "s2", "vector", *extra).mapInArrow(run, "key bigint, node bigint, n bigint, s1 bigint, s2 bigint" + (", component bigint, keys binary" if extra else ""))
 
 
 def groups(batches: Iterator[pa.RecordBatch], own: int) -> Iterator[list[np.ndarray]]:
@@ -285,18 +289,58 @@ def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, d)], names=["a", "b", "d"])
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): all candidate pairs of a bucket (or of two blocks of it) whose components differ; a < b."""
-    for _, _, _, nodes, n, s1, s2, component in groups(batches, 3):
+def unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, x, y, node, component): members of a bucket (or of two blocks of it) that have a candidate there in another
+    component, each pair of texts counted in the first bucket that it shares."""
+    for key, x, y, nodes, n, s1, s2, component, keys in groups(batches, 3):
         kinds, of, times = np.unique(component, return_inverse=True, return_counts=True)
         if len(kinds) < 2:
             continue
         s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
+        every = np.frombuffer(b"".join(keys), "<i8").reshape(len(nodes), -1)
+        marked = np.zeros(len(nodes), bool)
         for own, distance in close(n, s1, s2, np.flatnonzero(of != times.argmax())):
             i, j = np.nonzero((distance <= SKETCH) & (of[own, None] != of[None, :]))
-            if len(i):
-                x, y = nodes[own[i]], nodes[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            i = own[i]
+            if every.shape[1]:
+                first = np.concatenate([(every[i[k : k + 4096]] == every[j[k : k + 4096]]).argmax(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
+                here = every[i, first] == key[0]
+                i, j = i[here], j[here]
+            marked[i] = marked[j] = True
+        if marked.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[marked]) for c in (key, x, y, nodes, component)], names=["key", "x", "y", "node", "component"])
+
+
+def connecting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links that connect the components that pairs of the bucket's members connect, by exact similarity. Columns: key, x, y, node, component, shingles.
+
+    A member's shingles and their other owners give its similarity with all members at once; a link is kept only if it joins
+    two components, so there are fewer links than members.
+    """
+    for _, _, _, nodes, component, packed in groups(batches, 3):
+        sets = [np.frombuffer(p, np.uint64) for p in packed]
+        n = np.array([len(p) for p in sets], np.int64)
+        label = np.unique(component, return_inverse=True)[1]
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(ids, kind="stable")
+        owners = np.repeat(np.arange(len(n)), n)[order]
+        start = np.searchsorted(ids[order], np.arange(int(ids.max(initial=-1)) + 2))
+        at = np.concatenate([[0], np.cumsum(n)])
+        a, b = [], []
+        for i in range(len(n)):
+            if (label == label[0]).all():
+                break
+            own = ids[at[i] : at[i + 1]]
+            sizes = start[own + 1] - start[own]
+            places = np.repeat(start[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            both = np.bincount(owners[places], minlength=len(n))
+            alike_ = (SHARE[1] * both >= SHARE[0] * (n[i] + n - both)) & (label != label[i])
+            for k in np.unique(label[alike_]).tolist():
+                a.append(nodes[i])
+                b.append(nodes[np.flatnonzero(alike_ & (label == k))[0]])
+                label[label == k] = label[i]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], names=["a", "b"])
 
 
 def grouped_by(rows: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
@@ -324,13 +368,13 @@ def joined(rows: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(few) if few.count() <= 100_000 else few.hint("merge"), key, how)
 
 
-def open_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b): all candidate pairs of texts that aren't connected. rows: with component."""
+def open_links(rows: DataFrame, plan: Plan, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what candidate pairs of texts in different components connect. rows: with component."""
     met = members(rows, plan)
     sizes = members(rows, plan).groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     sizes = sizes.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("most"))
     crowded = written(sizes.where((F.col("m") > BLOCK) & (F.col("most.m") < F.col("m"))).select("key", F.col("most.component").alias("most"), F.ceil((F.col("m") - F.col("most.m")) / BLOCK).alias("outer"), F.ceil(F.col("most.m") / BLOCK).alias("inner")), "crowded")
-    columns = ["key", "x", "y", "node", "n", "s1", "s2", "component"]
+    columns = ["key", "x", "y", "node", "n", "s1", "s2", "component", "keys"]
     zero = F.lit(0).cast("bigint")
     if not crowded.count():
         spread = met.withColumn("x", zero).withColumn("y", zero)
@@ -344,7 +388,10 @@ def open_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
         as_inner = F.transform(up_to("outer"), lambda i: pair(i, -1 - F.pmod(F.xxhash64("node"), F.col("inner"))))
         places = F.when(F.col("outer").isNull(), F.array(pair(zero, zero))).when(F.col("component") == F.col("most"), as_inner).otherwise(as_outer)
         spread = met.withColumn("__at", F.explode(places)).withColumn("x", F.col("__at.x")).withColumn("y", F.col("__at.y"))
-    return grouped_by(spread.select(*columns), ["key", "x", "y"], across, "a bigint, b bigint").distinct()
+    by = ["key", "x", "y"]
+    some = written(grouped_by(spread.select(*columns), by, unconnected, "key bigint, x bigint, y bigint, node bigint, component bigint"), "open-members")
+    own = some.join(sets.hint("merge"), "node").select(*by, "node", "component", "shingles")
+    return grouped_by(own, by, connecting, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -387,8 +434,7 @@ def links(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     sets = written(shingle_sets(docs, some, text), "shingle-sets")
     sure = written(verified(first, sets), "first-links")
     left = texts.join(some.hint("merge"), "node").join(components(sure).hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = written(open_pairs(written(left, "open"), plan).join(first.hint("merge"), ["a", "b"], "left_anti"), "open-pairs")
-    return sure.unionByName(written(verified(rest, sets), "open-links"))
+    return sure.unionByName(written(open_links(written(left, "open"), plan, sets), "open-links"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
