@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
+from ..functions import severity
 from ..operators import agreement, findings as ops, search
 from ..operators.snapshots import fresh
 from ..sources.readers import table
@@ -31,7 +34,7 @@ def per_image(spark, sf_dir):
 
 def groups(spark, sf_dir):
     """Co-detection groups, which a dozen queries read: built once for a state of the tables that they come from."""
-    return fresh(spark, "codetection", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")], lambda: agreement.groups(views.findings(spark, sf_dir)))
+    return fresh(spark, "codetection", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")], lambda: agreement.groups(views.findings(spark, sf_dir)), (agreement, severity, views))
 
 
 query("findings_by_severity", "SELECT severity, count(*) AS n FROM {findings} GROUP BY severity")(lambda s, d: ops.counts(views.findings(s, d), "severity"))
@@ -103,7 +106,7 @@ def raw(spark, sf_dir):
 
 def merged(spark, sf_dir):
     """Merged findings, likewise."""
-    return fresh(spark, "merged", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")], lambda: ops.merged(raw(spark, sf_dir)))
+    return fresh(spark, "merged", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")], lambda: ops.merged(raw(spark, sf_dir)), (ops, severity, views, sys.modules[__name__]))
 
 
 MERGED = f"""(SELECT any_value(category) AS category, {NAME.format(r=f"max({RANK})")} AS severity, max(cvss) AS cvss, list_sort(list_distinct(list(scanner))) AS found_by, count(*) AS n_raw,
