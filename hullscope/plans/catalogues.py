@@ -89,7 +89,7 @@ query(
  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, k""",
 )(lambda s, d: ev.sessions(table(s, d, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"))
 query("events_rate", """WITH h AS (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS k FROM events) SELECT event_type, round(greatest(0, (arg_max(event_id, ts) - arg_min(event_id, ts)) * 60.0E0 / (epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))))), 6) AS per_minute FROM h WHERE k <= 8 GROUP BY event_type""")(
-    lambda s, d: ev.rate(ev.instants(table(s, d, "events")), "event_type", "ts", "event_id").withColumn("per_minute", F.round("per_minute", 6))
+    lambda s, d: ev.rate(ev.instants(table(s, d, "events")), "event_type", "ts", "event_id", least_seconds=None).withColumn("per_minute", F.round(F.col("per_minute") * 1e6) / 1e6)  # rounds halves as DuckDB does
 )
 query("events_properties", "SELECT CAST(props->>'$.k' AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1")(lambda s, d: table(s, d, "events").groupBy(F.from_json("props", "k int")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n")))
 query("events_first_seen", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")(lambda s, d: counts(ev.first_seen(table(s, d, "events"), ["user_id", "event_type"]), "user_id", "event_type"))

@@ -47,13 +47,19 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
 
 
-def rate(history: DataFrame, key: str, at: str, count: str, points: int = 8, least_seconds: int = 60) -> DataFrame:
-    """By key, from the last few points: change a minute between the first and the last of them; null under a minute, never below 0."""
-    last = Window.partitionBy(key).orderBy(F.col(at).desc())
+def rate(history: DataFrame, key: str, at: str, count: str, points: int = 8, least_seconds: int | None = 60) -> DataFrame:
+    """By key, from the last few points: change a minute between the first and the last of them that have instant and count,
+    never below 0. Of the points of one instant the largest count goes. Null under least_seconds; without (None) the change over
+    the whole seconds between, however few: over none infinity, or NaN if the count stays, and 0 if no point has both."""
+    last = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(count).desc())
     few = history.select(key, at, count, F.row_number().over(last).alias("rn")).where(F.col("rn") <= points)  # cut in each task before the shuffle
+    both = F.col(at).isNotNull() & F.col(count).isNotNull()
     span: Column = F.unix_seconds(F.max(at)) - F.unix_seconds(F.min(at))
-    rows = few.groupBy(key).agg(span.alias("span"), (F.max_by(count, F.struct(at, -F.col("rn"))) - F.min_by(count, F.struct(at, -F.col("rn")))).alias("gain"))
-    return rows.select(key, F.when(F.col("span") >= least_seconds, F.greatest(F.lit(0.0), F.col("gain") * 60.0 / F.col("span"))).alias("per_minute"))
+    gain = F.max_by(count, F.when(both, F.struct(at, -F.col("rn")))) - F.min_by(count, F.when(both, F.struct(at, "rn")))
+    rows = few.groupBy(key).agg(span.alias("span"), gain.alias("gain"))
+    by_zero = F.col("gain") * F.lit(float("inf"))  # what a division by 0 gives where it doesn't raise
+    change = F.greatest(F.lit(0.0), F.when(F.col("span") == 0, by_zero).otherwise(F.col("gain") * 60.0 / F.col("span")))
+    return rows.select(key, (change if least_seconds is None else F.when(F.col("span") >= least_seconds, change)).alias("per_minute"))
 
 
 def leases(changes: DataFrame, lease_seconds: int = 600) -> DataFrame:

@@ -95,3 +95,43 @@ def test_leases(spark, tmp_path):
         ev.into_table(ev.leases(stream), out, cp).awaitTermination(120)
     got = {(r.image, r.state) for r in spark.read.parquet(out).collect()}
     assert ("a", "running") in got and ("b", "done") in got and ("a", "stale") in got
+
+
+def test_rate_equals_its_sql_on_odd_points(spark, tmp_path):
+    import duckdb
+
+    from hullscope import plans
+
+    day = "2024-01-01 "
+    points = {
+        "brief": [(5, day + "00:00:01.9"), (25, day + "00:00:31.1")],
+        "one second": [(5, day + "00:00:01.1"), (25, day + "00:00:01.9")],
+        "falls in one second": [(25, day + "00:00:01.1"), (5, day + "00:00:01.9")],
+        "single": [(5, day + "00:00:01")],
+        "copies of an instant": [(i, day + "00:00:01") for i in range(20)],
+        "no instant": [(3, None), (9, None)],
+        "some without instant": [(3, None), (50, day + "00:00:00"), (60, day + "00:05:00"), (99, None)],
+        "no count": [(None, day + "00:00:00"), (None, day + "00:05:00")],
+        "ends without count": [(None, day + "00:00:00"), (10, day + "00:01:00"), (20, day + "00:02:00"), (None, day + "00:05:00")],
+        "half of the last digit": [(0, day + "00:00:00"), (41, day + "10:40:00")],
+        "before 1970": [(1, "1969-12-31 23:59:58.7"), (4, "1969-12-31 23:59:59.2"), (8, "1970-01-01 00:00:00.1")],
+        "many": [(m * m, f"{day}00:{m:02d}:00") for m in range(30)],
+        None: [(1, day + "00:00:00"), (4, day + "00:00:30")],
+    }
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, event_type VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?)", [(n, ts, kind) for kind, rows in points.items() for n, ts in rows])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    queries, sql = plans.load()
+    want = {kind: repr(v) for kind, v in con.execute(sql["events_rate"]).fetchall()}  # tells null, nan and inf apart
+    assert {r.event_type: repr(r.per_minute) for r in queries["events_rate"](spark, str(tmp_path)).collect()} == want
+    assert {want[k] for k in ("one second", "copies of an instant", "no instant")} == {"inf", "nan", "0.0"}
+    rows = ev.instants(readers.table(spark, str(tmp_path), "events"))
+    floor = {r.event_type: r.per_minute for r in ev.rate(rows, "event_type", "ts", "event_id").collect()}
+    assert floor["brief"] is None and floor["single"] is None and floor["no instant"] is None and floor["some without instant"] == 2.0
+
+
+def test_rate_takes_the_largest_count_of_an_instant(spark):
+    rows = ev.instants(spark.createDataFrame([("a", f"2024-01-01 00:0{m}:00", 10 * m + n) for m in range(6) for n in range(3)], "k string, ts string, n long"))
+    for few in (rows, rows.orderBy("n"), rows.orderBy(F.col("n").desc())):  # the last eight: minutes 5 and 4, two of 3
+        assert [r.per_minute for r in ev.rate(few, "k", "ts", "n").collect()] == [10.0]
